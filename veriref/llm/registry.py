@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from veriref.llm.bpe import op4_byte_bpe
 from veriref.llm.simhash import op9_simhash_near_dedup
 
-QUERIES: dict[str, Callable] = {"op9_simhash_near_dedup": op9_simhash_near_dedup}
+QUERIES: dict[str, Callable] = {"op4_byte_bpe": op4_byte_bpe, "op9_simhash_near_dedup": op9_simhash_near_dedup}
 ORACLES: dict[str, str] = {}
