@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from veriref.llm.bpe import op4_byte_bpe
 from veriref.llm.simhash import op9_simhash_near_dedup
+from veriref.llm.toxicity import op10_toxicity
 
-QUERIES: dict[str, Callable] = {"op4_byte_bpe": op4_byte_bpe, "op9_simhash_near_dedup": op9_simhash_near_dedup}
+QUERIES: dict[str, Callable] = {"op4_byte_bpe": op4_byte_bpe, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
