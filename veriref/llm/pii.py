@@ -5,7 +5,7 @@ reveals it as far as the corpus lets one infer the entity from the term: of N do
 and n(c, t) that hold the entity, the term, and both near each other, the disclosure is
 log(N n(c, t) / (n(c) n(t))) / log(N / n(c)), which is 1 if the term occurs beside the entity alone. Terms
 from GENERALISE on become a placeholder, from REMOVE on they go. Evidence must come from `MIN_CONTEXTS`
-different wordings, so copies of a document prove nothing. Near means within `REACH` characters.
+different wordings, so copies of a document prove nothing. Terms are compared as written. Near means within `REACH` characters.
 
 Patterns are written with possessive quantifiers and, where a match may start only at the beginning of a
 run, a look behind: their matches are those of the plain patterns, found in linear time and without
@@ -80,8 +80,8 @@ def _contexts(docs: DataFrame, text_col: str) -> DataFrame:
     near = found.select(F.xxhash64("text").alias("doc"), F.explode("base").alias("s")).select(
         "doc",
         F.concat_ws(":", "s.kind", "s.value").alias("entity"),
-        F.when(F.length("s.before") < REACH, F.lower("s.before")).otherwise(F.lower(F.regexp_replace("s.before", r"^\S*", ""))).alias("before"),
-        F.when(F.length("s.after") < REACH, F.lower("s.after")).otherwise(F.lower(F.regexp_replace("s.after", r"\S*$", ""))).alias("after"),
+        F.when(F.length("s.before") < REACH, F.col("s.before")).otherwise(F.regexp_replace("s.before", r"^\S*", "")).alias("before"),
+        F.when(F.length("s.after") < REACH, F.col("s.after")).otherwise(F.regexp_replace("s.after", r"\S*+$", "")).alias("after"),
     )
     words = F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "before", "after"), F.lit(_WORD), F.lit(0)))
     return near.select("doc", "entity", F.xxhash64("before", "after").alias("wording"), F.explode(words).alias("term"))
@@ -90,23 +90,26 @@ def _contexts(docs: DataFrame, text_col: str) -> DataFrame:
 def disclosures(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """entity, term, disclosure for terms from GENERALISE on; and the contexts, for what follows."""
     contexts = cut(_contexts(docs, text_col))
-    pairs = contexts.groupBy("entity", "term", "wording").count().groupBy("entity", "term").count().filter(F.col("count") >= MIN_CONTEXTS).select("entity", "term")
-    pairs = cut(pairs)
+    by_entity = contexts.select("entity", "doc").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
+    by_pair = contexts.select("entity", "term", "doc").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
+    worded = contexts.select("entity", "term", "wording").distinct().groupBy("entity", "term").count().filter(F.col("count") >= MIN_CONTEXTS).select("entity", "term")
+    total = docs.select(F.xxhash64(text_col).alias("doc")).distinct().count()
+    n = F.lit(float(max(total, 2)))
+    rate = lambda n_t: F.log(n * F.col("n_ct") / (F.col("n_c") * n_t)) / F.log(n / F.col("n_c"))
+    # A term is in as many documents at least as stand beside any entity, which rules out most pairs before the texts are read again.
+    least = contexts.select("term", "doc").distinct().groupBy("term").agg(F.count("*").alias("least"))
+    pairs = by_pair.join(worded, ["entity", "term"]).join(by_entity, "entity").join(least, "term").filter((F.col("n_c") < n) & (rate(F.col("least")) >= GENERALISE))
+    pairs = cut(pairs.select("entity", "term", "n_c", "n_ct"))
     terms = cut(pairs.select("term").distinct())
     n_terms = terms.count()
     if n_terms == 0:
-        return pairs.withColumn("disclosure", F.lit(0.0)), contexts
+        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure")), contexts
     # A document is a distinct text here, as in the contexts.
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(_WORD), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all(text_col, F.lit(_WORD), F.lit(0)))
     said = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("doc"), F.explode(words).alias("term"))
     said = said.join(F.broadcast(terms) if n_terms <= BROADCAST_ROWS else terms, "term").distinct()
     by_term = said.groupBy("term").agg(F.count("*").alias("n_t"))
-    by_entity = contexts.select("entity", "doc").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    by_pair = contexts.join(pairs, ["entity", "term"], "left_semi").select("entity", "term", "doc").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
-    total = docs.select(F.xxhash64(text_col).alias("doc")).distinct().count()
-    n = F.lit(float(max(total, 2)))
-    rate = F.log(n * F.col("n_ct") / (F.col("n_c") * F.col("n_t"))) / F.log(n / F.col("n_c"))
-    found = by_pair.join(by_term, "term").join(by_entity, "entity").filter(F.col("n_c") < n).select("entity", "term", rate.alias("disclosure"))
+    found = pairs.join(by_term, "term").select("entity", "term", rate(F.col("n_t")).alias("disclosure"))
     return found.filter(F.col("disclosure") >= GENERALISE), contexts
 
 
@@ -127,7 +130,7 @@ def found_spans(docs: DataFrame, text_col: str = "text", out: str = "spans") ->
 
 
 def _term_spans(text: str, terms: str, kind: str) -> str:
-    pattern = f"concat('(?iuU)\\\\b(?:', array_join({terms}, '|'), ')\\\\b')"
+    pattern = f"concat('(?U)\\\\b(?:', array_join({terms}, '|'), ')\\\\b')"
     both = f"array(named_struct('gaps', split({text}, {pattern}, -1), 'found', regexp_extract_all({text}, {pattern}, 0)))"
     fold = (
         f"aggregate(sequence(0, size(s.found) - 1), named_struct('at', 0, 'spans', cast(array() as {SPANS})), "
