@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -70,3 +71,12 @@ def pieces(items: Iterable, size: int) -> Iterator[list]:
             batch = []
     if batch:
         yield batch
+
+
+def cut_to_table(df: DataFrame, name: str) -> DataFrame:
+    """Written as Parquet in the folder of spark.checkpoint.dir, and read again."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints").rstrip("/")
+    path = f"{folder}/tables/{uuid.uuid4().hex}/{name}.parquet"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
