@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from veriref.llm import mixing
-from veriref.llm.bpe import op4_byte_bpe
-from veriref.llm.pii import op7_pii
-from veriref.llm.simhash import op9_simhash_near_dedup
-from veriref.llm.toxicity import op10_toxicity
+from veriref.llm import bpe, langid, mixing, pii, quality, simhash, toxicity
 
-QUERIES: dict[str, Callable] = {"op2_source_mixing": mixing.op2_source_mixing, "op4_byte_bpe": op4_byte_bpe, "op7_pii": op7_pii, "op9_simhash_near_dedup": op9_simhash_near_dedup, "op10_toxicity": op10_toxicity}
+QUERIES: dict[str, Callable] = {
+    "op1_quality_outliers": quality.op1_quality_outliers,
+    "op2_source_mixing": mixing.op2_source_mixing,
+    "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op6_language_id": langid.op6_language_id,
+    "op7_pii": pii.op7_pii,
+    "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
+    "op10_toxicity": toxicity.op10_toxicity,
+}
 ORACLES: dict[str, str] = {"op2_source_mixing": mixing.ORACLE}
