@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from veriref.llm import bpe, langid, mixing, pii, quality, simhash, toxicity
+from veriref.llm import bpe, langid, minhash, mixing, pii, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable] = {
     "op1_quality_outliers": quality.op1_quality_outliers,
     "op2_source_mixing": mixing.op2_source_mixing,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_minhash_fingerprints": minhash.op5_minhash_fingerprints,
     "op6_language_id": langid.op6_language_id,
     "op7_pii": pii.op7_pii,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
