@@ -129,8 +129,8 @@ def fingerprint(text: str | None) -> str:
         at = attempts[attempt][open_] if attempt < len(attempts) else (open_ + attempt) % BINS
         source[open_] = at
         open_, attempt = open_[~full[at]], attempt + 1
-    # A borrowed value is told from the lender's own bits by nothing: both texts borrow alike.
-    low = (_mixed(least[source]) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
+    # The bin's number is mixed in, so that bins which borrow one value don't all agree by the same chance.
+    low = (_mixed(least[source] + np.arange(BINS, dtype=np.uint64) * _BASE) & np.uint64((1 << BITS) - 1)).astype(np.uint8)
     return base64.b64encode((low[::2] << 4 | low[1::2]).tobytes()).decode()
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from veriref.llm import bpe, langid, minhash, mixing, pii, quality, simhash, toxicity
+from veriref.llm import bpe, chat, langid, minhash, mixing, pii, quality, simhash, toxicity
 
 QUERIES: dict[str, Callable] = {
     "op1_quality_outliers": quality.op1_quality_outliers,
@@ -13,6 +13,7 @@ QUERIES: dict[str, Callable] = {
     "op5_minhash_fingerprints": minhash.op5_minhash_fingerprints,
     "op6_language_id": langid.op6_language_id,
     "op7_pii": pii.op7_pii,
+    "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
