@@ -10,8 +10,8 @@ Targets are shares of the marginals to a power (`tempering`), so rare sources an
 The tables carry no topic; the query passes the register of a text (`register`): tables, symbols, shouting,
 digits, short and long prose.
 
-Only cells are shuffled, as partial sums: a hot source is one row a task and cell. Marginals and cells are
-broadcast if they're counted to be few, else joined by shuffle.
+Only cells are shuffled, as partial sums: a hot source is one row a task and cell. A sweep is three windows
+over the cells. Marginals and cells are broadcast if they're counted to be few, else joined by shuffle.
 
 Defined results: a null source, language or topic is a value of its own, `(none)`; null and empty texts
 have no tokens and the factor of their cell, a cell without tokens the factor 1; repeated rows and rows of
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veriref.llm.common import BROADCAST_ROWS, cut, fresh, table
@@ -59,10 +59,8 @@ def draw(seed: str, id_: Column) -> Column:
 
 def fit(cells: DataFrame, own: Mix = Mix()) -> DataFrame:
     """Cells (the dimensions, tokens) with `raked`, the weight that their marginals ask for, and `factor`."""
-    dims = [name for name, _ in own.tempering]
     cells = cut(cells.filter("tokens > 0").withColumn("raked", F.col("tokens").cast("double")))
     total = cells.agg(F.coalesce(F.sum("raked"), F.lit(0.0))).first()[0]
-    targets = {}
     for name, power in own.tempering:
         given = own.targets.get(name)
         share = F.pow(F.sum("raked") / F.lit(total or 1.0), F.lit(power))
@@ -70,14 +68,14 @@ def fit(cells: DataFrame, own: Mix = Mix()) -> DataFrame:
             share = F.coalesce(F.create_map(*[F.lit(x) for pair in given.items() for x in pair])[F.col(name)], F.lit(0.0))
         wanted = cells.groupBy(name).agg(share.alias("wanted"))
         of_all = wanted.agg(F.sum("wanted").alias("of_all"))
-        targets[name] = cut(wanted.join(F.broadcast(of_all)).select(name, (F.col("wanted") / F.col("of_all") * total).alias("wanted")))
-    few = {name: targets[name].count() <= BROADCAST_ROWS for name in dims}
+        wanted = cut(wanted.join(F.broadcast(of_all)).select(name, (F.col("wanted") / F.col("of_all") * total).alias(f"wanted_{name}")))
+        cells = cells.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, name)
+    cells = cut(cells)
     for sweep in range(own.sweeps):
-        for name in dims:
-            present = cells.groupBy(name).agg(F.sum("raked").alias("present")).join(targets[name], name)
-            change = present.select(name, (F.col("wanted") / F.col("present")).alias("change"))
-            cells = cells.join(F.broadcast(change) if few[name] else change, name).withColumn("raked", F.col("raked") * F.col("change")).drop("change")
-        if sweep % 2 or sweep == own.sweeps - 1:
+        for name, _ in own.tempering:
+            present = F.sum("raked").over(Window.partitionBy(name))
+            cells = cells.withColumn("raked", F.col("raked") * (F.col(f"wanted_{name}") / present))
+        if sweep % 4 == 3 or sweep == own.sweeps - 1:
             cells = cut(cells)
     return cells.withColumn("factor", F.col("raked") / F.col("tokens"))
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from veriref.llm import bpe, chat, langid, minhash, mixing, pii, quality, simhash, toxicity
+from veriref.llm import bpe, chat, langid, minhash, mixing, pii, quality, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable] = {
     "op1_quality_outliers": quality.op1_quality_outliers,
     "op2_source_mixing": mixing.op2_source_mixing,
+    "op3_merkle_fixity": warc.op3_merkle_fixity,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_minhash_fingerprints": minhash.op5_minhash_fingerprints,
     "op6_language_id": langid.op6_language_id,
@@ -17,4 +18,4 @@ QUERIES: dict[str, Callable] = {
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLES: dict[str, str] = {"op2_source_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_source_mixing": mixing.ORACLE, "op3_merkle_fixity": warc.ORACLE}
