@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from veriref.plans import analytics, references, retrieval  # noqa: F401  (they register their queries)
+from veriref.plans.base import ORACLES, QUERIES
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "quick_verdict_report"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
