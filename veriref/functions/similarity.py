@@ -9,8 +9,6 @@ import pyarrow as pa
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
-from veriref.functions.dialect import Spark
-
 
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence: a row of the table is one integer."""
@@ -50,11 +48,9 @@ title_similarity = _pairwise(token_sort_ratio)
 block_similarity = _pairwise(lambda a, b: None if a is None or b is None else SequenceMatcher(None, a, b).ratio())
 
 
-def duck_title_similarity(d: Spark, a: str, b: str) -> str:
-    """The same in DuckDB, for texts of up to 120 characters: bit rows in 128-bit integers."""
-    one = lambda x: f"array_to_string(list_sort(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> '')), ' ')"
-    x, y = one(a), one(b)
-    full = f"((1::hugeint << length({y})::int) - 1)"
-    masks = f"list_transform(string_split({x}, ''), lambda c: coalesce(list_sum(list_transform(range(1, length({y}) + 1), lambda i: case when substring({y}, i::int, 1) = c then 1::hugeint << (i - 1)::int else 0::hugeint end)), 0)::hugeint)"
+def duck_similarity(a: str, b: str) -> str:
+    """`indel` in DuckDB, of two columns of up to 120 characters: rows of bits in 128-bit integers."""
+    full = f"((1::hugeint << length({b})::int) - 1)"
+    masks = f"list_transform(string_split({a}, ''), lambda c: coalesce(list_sum(list_transform(range(1, length({b}) + 1), lambda i: case when substring({b}, i::int, 1) = c then 1::hugeint << (i - 1)::int else 0::hugeint end)), 0)::hugeint)"
     row = f"list_reduce(list_prepend({full}, {masks}), lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full})"
-    return f"case when length({x}) + length({y}) = 0 then 1.0 when {x} = {y} then 1.0 else 2.0 * (length({y}) - bit_count({row})) / (length({x}) + length({y})) end"
+    return f"case when {a} = {b} then 1.0::double else 2.0::double * (length({b}) - bit_count({row})) / (length({a}) + length({b})) end"

@@ -162,7 +162,7 @@ def author_year_keys(d: Spark) -> str:
 def _markers(d: Spark) -> str:
     """CTEs up to `hit`: markers with year and surname, and the references of their paper that agree."""
     return f"""r as (select paper_id, ref_id, ref_pos, year, {T.surname_tokens(d, "authors")} as people from ({refs(d)}) x),
-    m as (select paper_id, ref_id as marker_id, case when ref_id % 5 = 0 then null when ref_id % 4 = 0 then 1900 else year end as y, case when ref_id % 6 = 0 then null else {d.item("people", 1)} end as s, ref_pos + 1 as num from r),
+    m as (select paper_id, ref_id as marker_id, case when ref_id % 5 = 0 then null when ref_id % 4 = 0 then 1900 else year end as y, case when ref_id % 6 = 0 then null else {d.item(d.ordered("people"), 1)} end as s, ref_pos + 1 as num from r),
     hit as (select m.marker_id, r.ref_id from m join r on m.paper_id = r.paper_id where (m.y is null or m.y = r.year) and (m.s is null or {"array_contains" if d.name == "spark" else "list_contains"}(r.people, m.s)) and (m.y is not null or m.s is not null))"""
 
 

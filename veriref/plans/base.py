@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veriref.functions.dialect import DUCK, SPARK, Spark, div
-from veriref.functions.similarity import title_similarity
+from veriref.functions.similarity import duck_similarity, title_similarity
 from veriref.session import table
 
 QUERIES: dict[str, Callable] = {}
@@ -69,6 +69,9 @@ def catalog(d: Spark, source: str = "documents") -> str:
 
 
 def similarity(d: Spark, a: str, b: str) -> str:
-    from veriref.functions.similarity import duck_title_similarity
+    """Of two columns that hold titles with their words sorted (`sorted_words`)."""
+    return duck_similarity(a, b) if d.name == "duck" else f"title_similarity({a}, {b})"
 
-    return duck_title_similarity(d, a, b) if d.name == "duck" else f"title_similarity({a}, {b})"
+
+def sorted_words(d: Spark, x: str) -> str:
+    return d.joined(d.ordered(d.split(x, " ")), " ")

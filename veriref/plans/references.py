@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from veriref.functions import text as T
 from veriref.functions.dialect import Spark, div
-from veriref.plans.base import catalog, names, query, refs, similarity
+from veriref.plans.base import catalog, names, query, refs, similarity, sorted_words
 
 
 @query("documents")
@@ -17,8 +17,8 @@ def title_normalize(d: Spark) -> str:
 def title_similarity_pairs(d: Spark) -> str:
     """Titles are blocked by their first 12 normal characters, and each distinct title stands for all that are equal."""
     return f"""with t as (select {T.normalize_title(d, "title")} as norm, min(ref_id) as ref_id from ({refs(d)}) r group by 1),
-    b as (select ref_id, norm, substring(norm, 1, 12) as block from t where norm <> ''),
-    p as (select x.ref_id as left_id, y.ref_id as right_id, x.norm as a, y.norm as b from b x join b y on x.block = y.block and x.ref_id < y.ref_id and 2.0e0 * least(length(x.norm), length(y.norm)) >= {T.TITLE_MATCH} * (length(x.norm) + length(y.norm))),
+    b as (select ref_id, norm, {sorted_words(d, "norm")} as words, substring(norm, 1, 12) as block from t where norm <> ''),
+    p as (select x.ref_id as left_id, y.ref_id as right_id, x.words as a, y.words as b from b x join b y on x.block = y.block and x.ref_id < y.ref_id and 2.0e0 * least(length(x.norm), length(y.norm)) >= {T.TITLE_MATCH} * (length(x.norm) + length(y.norm))),
     s as (select left_id, right_id, {similarity(d, "a", "b")} as sim from p)
     select left_id, right_id, round(sim, 6) as similarity from s where sim >= {T.TITLE_MATCH}"""
 
@@ -27,8 +27,8 @@ def _scored(d: Spark) -> str:
     """CTEs up to `scored`: each reference with its candidates by normal title words, and their scores."""
     return f"""r as (select ref_id, {T.normalize_title(d, "title")} as norm, {T.surname_tokens(d, "authors")} as people, year from ({refs(d)}) x),
     c as (select work_id, source, candidate_rank, {T.normalize_title(d, "title")} as norm, {T.surname_tokens(d, "authors")} as people, year from ({catalog(d)}) x),
-    rk as (select *, {d.joined(d.ordered(d.split("norm", " ")), " ")} as block from r), ck as (select *, {d.joined(d.ordered(d.split("norm", " ")), " ")} as block from c),
-    p as (select rk.ref_id, ck.work_id, ck.source, ck.candidate_rank, rk.norm as a, ck.norm as b, rk.people as pa, ck.people as pb, rk.year as ya, ck.year as yb from rk join ck on rk.block = ck.block),
+    rk as (select *, {sorted_words(d, "norm")} as block from r), ck as (select *, {sorted_words(d, "norm")} as block from c),
+    p as (select rk.ref_id, ck.work_id, ck.source, ck.candidate_rank, rk.block as a, ck.block as b, rk.people as pa, ck.people as pb, rk.year as ya, ck.year as yb from rk join ck on rk.block = ck.block),
     s as (select *, {similarity(d, "a", "b")} as title_sim, {T.author_similarity(d, "pa", "pb")} as author_sim from p),
     scored as (select *, {T.composite("title_sim", f"case when {d.size('pa')} = 0 or {d.size('pb')} = 0 then 0.5e0 else author_sim end", T.year_score("ya", "yb"))} as score,
         ({d.size("pa")} > 0 and {d.size("pb")} > 0 and author_sim = 0.0e0) as disjoint_people from s)"""
@@ -88,7 +88,7 @@ def venue_normalize_match(d: Spark) -> str:
 def _matched(d: Spark) -> str:
     """CTEs up to `f`: the fields of references beside those of their records, compared."""
     return f"""r as (select * from ({refs(d)}) x), c as (select * from ({catalog(d)}) x),
-    j as (select r.ref_id, r.paper_id, c.work_id, c.source, c.retracted, {T.normalize_title(d, "r.title")} as ta, {T.normalize_title(d, "c.title")} as tb, {T.surname_tokens(d, "r.authors")} as pa, {T.surname_tokens(d, "c.authors")} as pb,
+    j as (select r.ref_id, r.paper_id, c.work_id, c.source, c.retracted, {sorted_words(d, T.normalize_title(d, "r.title"))} as ta, {sorted_words(d, T.normalize_title(d, "c.title"))} as tb, {T.surname_tokens(d, "r.authors")} as pa, {T.surname_tokens(d, "c.authors")} as pb,
         r.year as ya, c.year as yb, {T.missing("r.venue")} as va, {T.missing("c.venue")} as vb, {T.missing("r.doi")} as da, {T.missing("c.doi")} as db from r join c on r.ref_id = c.work_id),
     s as (select *, {similarity(d, "ta", "tb")} as title_sim, {T.author_similarity(d, "pa", "pb")} as author_sim, {T.normalize_venue(d, "va")} as na, {T.normalize_venue(d, "vb")} as nb, {T.normalize_doi(d, "da")} as xa, {T.normalize_doi(d, "db")} as xb from j),
     f as (select *, case when title_sim >= {T.TITLE_MATCH} then 'MATCH' else 'MISMATCH' end as title_status,
@@ -119,12 +119,12 @@ STEPS = [(4, "crossref", "doi"), (5, "semantic_scholar", "doi"), (6, "crossref",
 def _cascade(d: Spark) -> str:
     """CTEs up to `won`: the first step of J7 that hits and passes the title gate, for each reference."""
     hits = " union all ".join(f"select ref_id, work_id, {step} as step, '{source}' as source, a, b, retracted from {key}_pairs where source = '{source}'" for step, source, key in STEPS)
-    block = lambda x: d.joined(d.ordered(d.split(x, " ")), " ")
+    block = lambda x: sorted_words(d, x)
     return f"""r as (select ref_id, paper_id, {T.normalize_title(d, "title")} as norm, {T.canonical_id(d, "doi")} as canon from ({refs(d)}) x),
     c as (select work_id, source, retracted, {T.normalize_title(d, "title")} as norm, {T.canonical_id(d, "doi")} as canon from ({catalog(d)}) x),
     rb as (select *, {block("norm")} as block from r), cb as (select *, {block("norm")} as block from c),
-    doi_pairs as (select r.ref_id, c.work_id, c.source, r.norm as a, c.norm as b, c.retracted from r join c on r.canon = c.canon),
-    title_pairs as (select rb.ref_id, cb.work_id, cb.source, rb.norm as a, cb.norm as b, cb.retracted from rb join cb on rb.block = cb.block),
+    doi_pairs as (select r.ref_id, c.work_id, c.source, r.block as a, c.block as b, c.retracted from rb r join cb c on r.canon = c.canon),
+    title_pairs as (select rb.ref_id, cb.work_id, cb.source, rb.block as a, cb.block as b, cb.retracted from rb join cb on rb.block = cb.block),
     hits as ({hits}), gated as (select *, {similarity(d, "a", "b")} as sim from hits),
     ranked as (select *, row_number() over (partition by ref_id order by step, sim desc, work_id) as rn from gated where sim >= {T.TITLE_MATCH}),
     won as (select ref_id, work_id, step, source, sim, retracted from ranked where rn = 1)"""
@@ -148,7 +148,7 @@ def cross_source_author_validation(d: Spark) -> str:
 
 def _verdicts(d: Spark) -> str:
     """CTEs up to `v`: the quick verdict (C2) of each reference."""
-    return f"""{_cascade(d).replace("r as (", "r0 as (", 1).replace(" from r)", " from r0)", 1).replace("from r join c on r.canon", "from r0 r join c on r.canon")},
+    return f"""{_cascade(d).replace("r as (", "r0 as (", 1).replace(" as block from r)", " as block from r0)", 1)},
     {_matched(d).replace("c as (select * from", "c1 as (select * from", 1).replace("from r join c on r.ref_id = c.work_id", "from r join c1 c on r.ref_id = c.work_id", 1).replace("r as (select * from", "r as (select * from", 1).replace("s as (select *, ", "s1 as (select *, ", 1).replace(" from s)", " from s1)", 1)},
     m as (select ref_id, work_id, {_MISMATCH} as mismatch, {_score(d)} as metadata_score from f),
     v as (select x.ref_id, x.paper_id, x.ref_pos, w.source, w.step, m.metadata_score,
@@ -167,7 +167,7 @@ def quick_classify(d: Spark) -> str:
 def quick_verdict_report(d: Spark) -> str:
     """A2 A3, the flagship: counts, integrity and risk of each paper."""
     return f"""with {_verdicts(d)},
-    g as (select paper_id, count(*) as n_refs, count_if(verdict = 'VALID') as n_valid, count_if(verdict = 'FABRICATED') as n_fabricated, count_if(verdict = 'UNVERIFIABLE') as n_unverifiable, round(avg(metadata_score), 3) as mean_score from v group by paper_id),
+    g as (select paper_id, count(*) as n_refs, count_if(verdict = 'VALID') as n_valid, count_if(verdict = 'FABRICATED') as n_fabricated, count_if(verdict = 'UNVERIFIABLE') as n_unverifiable, cast(coalesce(sum(cast(round(metadata_score * 1000) as bigint)), 0) as bigint) as score_milli_sum from v group by paper_id),
     h as (select *, round(coalesce(cast(n_valid as double) / nullif(n_refs - n_unverifiable, 0), 0.0e0), 3) as integrity from g)
     select *, n_refs - n_valid as n_flagged, case when integrity > 0.90 then 'LOW' when integrity > 0.70 then 'MEDIUM' when integrity > 0.50 then 'HIGH' else 'CRITICAL' end as risk from h"""
 
