@@ -49,7 +49,7 @@ GAP = 0x110000
 LETTER, NUMBER, OTHER, BLANK, BETWEEN, SHORT, LONG, JOINING, LAST = range(9)
 IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_SPACE, IN_BLANKS, CLOSED, ONE_MORE, TWO_MORE = range(8)
 _BLOCK_ROWS, _BLOCK_COLUMNS = 4096, 256
-_CACHED_PIECES, _CACHED_LENGTH = 400_000, 64
+_CACHED_PIECES, _CACHED_LENGTH = 120_000, 64
 
 
 @lru_cache(maxsize=1)
@@ -254,7 +254,7 @@ def codec(path: str) -> Codec:
 
 
 _ENCODED = StructType([StructField("ids", ArrayType(IntegerType())), StructField("ends", ArrayType(IntegerType()))])
-_CHARS_AT_ONCE = 2_000_000
+_CHARS_AT_ONCE = 500_000
 
 
 def _encode(batches: Iterator[pa.Array], path: str) -> Iterator[pa.Array]:
