@@ -52,17 +52,23 @@ def reserve_daily(events: DataFrame, papers: int = PAPERS) -> DataFrame:
     return own.mapInPandas(run, "day string, event_id long, n long, reserved boolean")
 
 
+def timed(events: DataFrame, late: str) -> DataFrame:
+    """ts as an instant (watermarks need one); on a stream with a watermark."""
+    own = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return own.withWatermark("ts", late) if own.isStreaming else own
+
+
 def hourly_counts(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Events of each hour and kind, from a batch or a stream; a stream drops what is later than the watermark."""
-    own = events.withWatermark("ts", late) if events.isStreaming else events
+    own = timed(events, late)
     return own.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("hour"), "event_type", "n")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    own = events.withWatermark("ts", late) if events.isStreaming else events
+    own = timed(events, late)
     return own.groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("started"), F.col("session_window.end").alias("closes"), "n")
 
 
 def first_lookups(events: DataFrame, key: str = "user_id", late: str = "1 hour") -> DataFrame:
     """One lookup for each key, as far back as the watermark remembers on a stream."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
+    return timed(events, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
