@@ -78,8 +78,9 @@ def counted(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def vector() -> list[Column]:
-    """The transformed statistics of a row of COUNTS with at least one word, by VECTOR."""
+    """The transformed statistics of a row of COUNTS, by VECTOR."""
     c = {name: F.col(name).cast("double") for name in COUNTS}
+    c["n_words"], c["word_chars"] = (F.greatest(c[x], F.lit(1.0)) for x in ("n_words", "word_chars"))  # of none there is no vector to use
     upper = F.log((c["n_upper"] + 1) / (c["n_letters"] - c["n_upper"] + 1))
     return [
         F.log(c["word_chars"] / c["n_words"]),
