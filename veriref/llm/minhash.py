@@ -22,6 +22,7 @@ first. A single document is its own next. An empty table gives an empty result;
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -162,28 +163,29 @@ def _ranges(ids: DataFrame, n: int) -> Column:
     """The range of an id, by quantiles of all ids: a sum of comparisons, so the same wherever it is computed."""
     bounds = sorted(set(ids.filter("doc_id is not null").approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else []))
     found = F.lit(0)
-    if bounds:
-        edges = F.array(*[F.lit(int(x)) for x in bounds])
-        found = F.size(F.filter(edges, lambda edge: edge <= F.col("doc_id")))
+    if bounds:  # searched in two steps, by blocks of edges and then within one
+        step = max(1, math.isqrt(len(bounds)))
+        edges, coarse = (F.array(*[F.lit(int(x)) for x in own]) for own in (bounds, bounds[step - 1 :: step]))
+        below = lambda own: F.size(F.filter(own, lambda edge: edge <= F.col("doc_id")))
+        first = below(coarse) * step
+        found = first + below(F.slice(edges, first + 1, F.lit(step)))
     return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(found)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Of doc_id, text, print: the same with next_text and next_print, those of the row that follows by doc_id (then text); after the last comes the first."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Of doc_id, text: the same with print, next_text and next_print; next is the row that follows by doc_id (then text), and the first after the last."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select("doc_id")
     bucket = _ranges(ids, 2 * n)
     firsts = cut(ids.groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("doc_id")))
-    before = F.lag("bucket").over(Window.partitionBy(F.lit(0)).orderBy("bucket"))  # a row for each range
-    last = F.max("bucket").over(Window.partitionBy(F.lit(0)))
-    guests = firsts.select(F.col("doc_id").alias("guest"), "bucket", F.coalesce(before, last).alias("host"))
+    every = Window.partitionBy(F.lit(0))  # a row for each range
+    guests = firsts.select(F.col("doc_id").alias("guest"), "bucket", F.coalesce(F.lag("bucket").over(every.orderBy("bucket")), F.max("bucket").over(every)).alias("host"))
     few = guests.count() <= BROADCAST_ROWS
     ranged = docs.withColumn("bucket", bucket)
     own = ranged.join(F.broadcast(guests) if few else guests, ["bucket"]).filter(F.col("doc_id").eqNullSafe(F.col("guest")))
+    visiting = own.groupBy("host").agg(F.min(F.struct("doc_id", "text")).alias("x")).select("x.doc_id", "x.text", F.col("host").alias("bucket"), F.lit(1).alias("visits"))
+    both = ranged.withColumn("visits", F.lit(0)).unionByName(visiting).withColumn("print", fingerprints("text"))
     order = Window.partitionBy("bucket").orderBy("visits", "doc_id", "text")
-    alone = own.groupBy("host").agg(F.min(F.struct("doc_id", "text", "print")).alias("x")).select("x.doc_id", "x.text", "x.print", F.col("host").alias("bucket"), F.lit(1).alias("visits"))
-    both = ranged.withColumn("visits", F.lit(0)).unionByName(alone)
     return both.withColumn("next_text", F.lead("text").over(order)).withColumn("next_print", F.lead("print").over(order)).filter("visits = 0")
 
 
@@ -191,7 +193,7 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next for each row."""
     small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_next(own.withColumn("print", fingerprints("text")))
+    rows = with_next(own)
     edited = rows.select("doc_id", "print", "next_print", F.length("text").cast("long").alias("n_chars"), F.concat(F.expr("left(text, length(text) - length(text) div 2)"), F.expr("left(next_text, length(text) div 2)")).alias("edited"))
     marked = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("print").alias("fingerprint"), fingerprints("edited").alias("edited_fingerprint"), "next_print")
     return marked.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", alike("fingerprint", "edited_fingerprint").alias("near_edited"), alike("fingerprint", "next_print").alias("near_next"))
