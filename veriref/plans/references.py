@@ -118,7 +118,9 @@ STEPS = [(4, "crossref", "doi"), (5, "semantic_scholar", "doi"), (6, "crossref",
 
 def _cascade(d: Spark) -> str:
     """CTEs up to `won`: the first step of J7 that hits and passes the title gate, for each reference."""
-    hits = " union all ".join(f"select ref_id, work_id, {step} as step, '{source}' as source, a, b, retracted from {key}_pairs where source = '{source}'" for step, source, key in STEPS)
+    # One join for each kind of key; the step follows from the source.
+    step = lambda key: "case source " + " ".join(f"when '{source}' then {n}" for n, source, own in STEPS if own == key) + " end"
+    hits = " union all ".join(f"select ref_id, work_id, {step(key)} as step, source, a, b, retracted from {key}_pairs where {step(key)} is not null" for key in ("doi", "title"))
     block = lambda x: sorted_words(d, x)
     return f"""r as (select ref_id, paper_id, {T.normalize_title(d, "title")} as norm, {T.canonical_id(d, "doi")} as canon from ({refs(d)}) x),
     c as (select work_id, source, retracted, {T.normalize_title(d, "title")} as norm, {T.canonical_id(d, "doi")} as canon from ({catalog(d)}) x),
