@@ -1,11 +1,13 @@
 """Operator 7: information-theoretic sanitisation, with DataFrame functions alone.
 
-Protected entities are the personal data that four patterns find. A term that stands near an entity
-reveals it as far as the corpus lets one infer the entity from the term: of N documents, with n(c), n(t)
-and n(c, t) that hold the entity, the term, and both near each other, the disclosure is
-log(N n(c, t) / (n(c) n(t))) / log(N / n(c)), which is 1 if the term occurs beside the entity alone. Terms
-from GENERALISE on become a placeholder, from REMOVE on they go. Evidence must come from `MIN_CONTEXTS`
-different wordings, so copies of a document prove nothing. Terms are compared as written. Near means within `REACH` characters.
+Protected entities are the personal data that four patterns find; cards and phones are compared by their digits.
+A term that stands in a sentence with an entity reveals it as far as the corpus lets one infer the entity from
+the term: of N different sentences, with n(c), n(t) and n(c, t) that hold the entity, the term, and both, the
+disclosure is log(p(c | t) N / n(c)) / log(N / n(c)) with p(c | t) = (n(c, t) + PRIOR n(c) / N) / (n(t) + PRIOR),
+so it nears 1 as more sentences show the term beside the entity alone, and what was seen once or twice weighs
+less without being left out. Terms from GENERALISE on become a placeholder, from REMOVE on they go. Equal
+sentences count once, so copies of a document, or of most of it, prove nothing. Terms are compared as written,
+and words within entities aren't terms.
 
 Patterns are written with possessive quantifiers and, where a match may start only at the beginning of a
 run, a look behind: their matches are those of the plain patterns, found in linear time and without
@@ -35,11 +37,14 @@ KINDS: dict[str, tuple[str, str, str]] = {
     "phone": (r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) between 8 and 15"),
 }
 SPANS = "array<struct<kind:string,start:int,end:int>>"
-_NEAR = "array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>"
+_NEAR = "array<struct<kind:string,start:int,end:int,value:string>>"
 TERM = "term"
 GENERALISE, REMOVE = 0.85, 0.98
-MIN_CONTEXTS, REACH, MIN_TERM = 3, 48, 4
+PRIOR, MIN_TERM = 1.0, 4
 _WORD = rf"(?U)\b\p{{L}}{{{MIN_TERM},}}+\b"
+#: What ends a sentence; and the signs around an entity in a marked text.
+_END = r"[.!?]++\s++|[\u3002\uFF01\uFF1F]++|[\r\n]++"
+_OPEN, _CLOSE = "\ue000", "\ue001"
 
 
 def _quoted(pattern: str) -> str:
@@ -47,9 +52,9 @@ def _quoted(pattern: str) -> str:
 
 
 def spans_of(text: str, kind: str, near: bool = False) -> str:
-    """SQL: the valid spans of one kind in a SQL expression of a text that isn't null; near: with what they hold and what stands beside them."""
+    """SQL: the valid spans of one kind in a SQL expression of a text that isn't null; near: with what they hold."""
     kept = _NEAR if near else SPANS
-    beside = f", 'value', s.found[i], 'before', substring(s.gaps[i], -{REACH}), 'after', left(s.gaps[i + 1], {REACH})" if near else ""
+    beside = ", 'value', s.found[i]" if near else ""
     needs, pattern, test = KINDS[kind]
     contains = f"contains({text}, '{needs}')" if needs == "@" else f"{text} rlike {_quoted(needs)}"
     keep = f"element_at(transform(array(struct(s.found[i] as m, regexp_replace(s.found[i], '[^0-9]', '') as d)), x -> {_named(test)}), 1)"
@@ -74,39 +79,46 @@ def _base(df: DataFrame, text_col: str, out: str, near: bool = False) -> DataFra
     return df.withColumn(out, F.expr(f"concat({own})"))
 
 
-def _contexts(docs: DataFrame, text_col: str) -> DataFrame:
-    """doc (a text's hash), entity, wording, term: a row for each term near each entity."""
-    found = _base(docs.select(F.col(text_col).alias("text")), "text", "base", near=True)
-    near = found.select(F.xxhash64("text").alias("doc"), F.explode("base").alias("s")).select(
-        "doc",
-        F.concat_ws(":", "s.kind", "s.value").alias("entity"),
-        F.when(F.length("s.before") < REACH, F.col("s.before")).otherwise(F.regexp_replace("s.before", r"^\S*", "")).alias("before"),
-        F.when(F.length("s.after") < REACH, F.col("s.after")).otherwise(F.regexp_replace("s.after", r"\S*+$", "")).alias("after"),
+def _marked(text: str, spans: str) -> str:
+    """SQL: the text with each span replaced by its kind and value between two signs; of spans that overlap none is left out."""
+    ordered = f"array_sort({spans}, (x, y) -> if(x.start <> y.start, x.start - y.start, y.end - x.end))"
+    plain = f"translate({text}, '{_OPEN}{_CLOSE}', '  ')"
+    value = "if(s.kind in ('card', 'phone'), regexp_replace(s.value, '[^0-9]', ''), s.value)"
+    marks = (
+        f"aggregate({ordered}, named_struct('at', 0, 'out', cast(array() as array<string>)), (a, s) -> named_struct('at', greatest(a.at, s.end), "
+        f"'out', concat(a.out, array(substring({plain}, a.at + 1, greatest(s.start - a.at, 0)), concat('{_OPEN}', s.kind, ':', {value}, '{_CLOSE}')))), "
+        f"a -> concat(array_join(a.out, ''), substring({plain}, a.at + 1)))"
     )
-    words = F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "before", "after"), F.lit(_WORD), F.lit(0)))
-    return near.select("doc", "entity", F.xxhash64("before", "after").alias("wording"), F.explode(words).alias("term"))
+    return f"if(size({spans}) = 0, {plain}, {marks})"
+
+
+def _sentences(docs: DataFrame, text_col: str) -> DataFrame:
+    """doc, sentence (hashes of a text and of a sentence), entities, words: a row for each sentence that isn't blank."""
+    found = _base(docs.select(F.col(text_col).alias("text")).filter("text is not null"), "text", "base", near=True)
+    marked = found.select(F.xxhash64("text").alias("doc"), F.explode(F.split(F.expr(_marked("text", "base")), _END)).alias("s")).filter(F.trim("s") != "")
+    entities = F.array_distinct(F.regexp_extract_all("s", F.lit(f"{_OPEN}([^{_CLOSE}]*+){_CLOSE}"), F.lit(1)))
+    bare = F.regexp_replace("s", f"{_OPEN}[^{_CLOSE}]*+{_CLOSE}", " ")
+    return marked.select("doc", F.xxhash64("s").alias("sentence"), entities.alias("entities"), F.array_distinct(F.regexp_extract_all(bare, F.lit(_WORD), F.lit(0))).alias("words"))
 
 
 def disclosures(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """entity, term, disclosure for terms from GENERALISE on; and the contexts, for what follows."""
-    contexts = cut(_contexts(docs, text_col))
-    by_entity = contexts.select("entity", "doc").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    by_pair = contexts.select("entity", "term", "doc").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
-    worded = contexts.select("entity", "term", "wording").distinct().groupBy("entity", "term").count().filter(F.col("count") >= MIN_CONTEXTS).select("entity", "term")
-    total = docs.select(F.xxhash64(text_col).alias("doc")).distinct().count()
+    sentences = _sentences(docs, text_col)
+    contexts = cut(sentences.select("doc", "sentence", F.explode("entities").alias("entity"), "words").select("doc", "sentence", "entity", F.explode_outer("words").alias("term")))
+    by_entity = contexts.select("entity", "sentence").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
+    by_pair = contexts.filter("term is not null").select("entity", "term", "sentence").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
+    total = sentences.select("sentence").distinct().count()
     n = F.lit(float(max(total, 2)))
-    rate = lambda n_t: F.log(n * F.col("n_ct") / (F.col("n_c") * n_t)) / F.log(n / F.col("n_c"))
-    # A term is in as many documents at least as stand beside any entity, which rules out most pairs before the texts are read again.
-    least = contexts.select("term", "doc").distinct().groupBy("term").agg(F.count("*").alias("least"))
-    pairs = by_pair.join(worded, ["entity", "term"]).join(by_entity, "entity").join(least, "term").filter((F.col("n_c") < n) & (rate(F.col("least")) >= GENERALISE))
+    rate = lambda n_t: F.log((n * F.col("n_ct") / F.col("n_c") + PRIOR) / (n_t + PRIOR)) / F.log(n / F.col("n_c"))
+    # A term is in as many sentences at least as stand beside any entity, which rules out most pairs before the texts are read again.
+    least = contexts.select("term", "sentence").distinct().groupBy("term").agg(F.count("*").alias("least"))
+    pairs = by_pair.join(by_entity, "entity").join(least, "term").filter((F.col("n_c") < n) & (rate(F.col("least")) >= GENERALISE))
     pairs = cut(pairs.select("entity", "term", "n_c", "n_ct"))
     terms = cut(pairs.select("term").distinct())
     n_terms = terms.count()
     if n_terms == 0:
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure")), contexts
-    # A document is a distinct text here, as in the contexts.
-    words = F.array_distinct(F.regexp_extract_all(text_col, F.lit(_WORD), F.lit(0)))
-    said = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("doc"), F.explode(words).alias("term"))
+    said = sentences.select("sentence", F.explode("words").alias("term"))
     said = said.join(F.broadcast(terms) if n_terms <= BROADCAST_ROWS else terms, "term").distinct()
     by_term = said.groupBy("term").agg(F.count("*").alias("n_t"))
     found = pairs.join(by_term, "term").select("entity", "term", rate(F.col("n_t")).alias("disclosure"))
