@@ -132,13 +132,24 @@ def test_pii_terms_of_rare_entities(spark):
     rows += [(400, "Plain words. The common matter rests with Wolfgang Amadeus, boss@corp.example, as agreed\nplain words of others."), (401, "Call the common matter desk of Constanze at +1 (377) 555-0271. Plain words."), (402, "Ask Constanze on +1 377 555 0271 of the common matter.")]
     rows += [(500 + k, f"Edited copy {k}. The common matter of Nannerl copy@corp.example is written here. Leopold edited it") for k in range(9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {(r["entity"], r["term"]) for r in pii.disclosures(docs)[0].collect()}
+    found = {(r["entity"], r["term"]) for r in pii.disclosures(docs).collect()}
     assert {("email:boss@corp.example", "Wolfgang"), ("email:boss@corp.example", "Amadeus"), ("phone:13775550271", "Constanze"), ("email:copy@corp.example", "Nannerl")} <= found
     assert not {t for _, t in found} & {"common", "matter", "words", "plain", "corp", "example", "Leopold", "others"}
     out = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
     assert "Wolfgang" not in out[400] and "Constanze" not in out[401] and "common matter" in out[400] and out[7] == rows[7][1]
 
 
+def test_pii_terms_go_everywhere(spark):
+    from veriref.llm import pii
+
+    rows = [(k, f"plain words of number {k}. The common matter {k} is settled.") for k in range(300)]
+    rows += [(400, "The common matter rests with Wolfgang, boss@corp.example, as agreed. " + "Plain words here. " * 9 + "Later Wolfgang left."), (401, "Plain words were said by Wolfgang yesterday."), (401, "Plain words were said by Wolfgang yesterday."), (402, None)]
+    rows += [(403, "Wolfgang is boss@corp.example of plain words."), (404, "Write of the common matter to Wolfgang, boss@corp.example")]
+    out = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "Wolfgang" not in out[400] and "Later <TERM> left." in out[400]
+    assert out[401] == "Plain words were said by <TERM> yesterday." and out[402] is None and out[7] == rows[7][1]
+
+
 def test_quality_counts():
     from veriref.llm import quality
 

@@ -5,7 +5,8 @@ A term that stands in a sentence with an entity reveals it as far as the corpus
 the term: of N different sentences, with n(c), n(t) and n(c, t) that hold the entity, the term, and both, the
 disclosure is log(p(c | t) N / n(c)) / log(N / n(c)) with p(c | t) = (n(c, t) + PRIOR n(c) / N) / (n(t) + PRIOR),
 so it nears 1 as more sentences show the term beside the entity alone, and what was seen once or twice weighs
-less without being left out. Terms from GENERALISE on become a placeholder, from REMOVE on they go. Equal
+less without being left out. Terms from GENERALISE on become a placeholder, from REMOVE on they go, in every
+document that holds them, with the entity or without; of several entities the most disclosed one counts. Equal
 sentences count once, so copies of a document, or of most of it, prove nothing. Terms are compared as written,
 and words within entities aren't terms.
 
@@ -93,18 +94,18 @@ def _marked(text: str, spans: str) -> str:
 
 
 def _sentences(docs: DataFrame, text_col: str) -> DataFrame:
-    """doc, sentence (hashes of a text and of a sentence), entities, words: a row for each sentence that isn't blank."""
+    """sentence (its hash), entities, words: a row for each sentence that isn't blank."""
     found = _base(docs.select(F.col(text_col).alias("text")).filter("text is not null"), "text", "base", near=True)
-    marked = found.select(F.xxhash64("text").alias("doc"), F.explode(F.split(F.expr(_marked("text", "base")), _END)).alias("s")).filter(F.trim("s") != "")
+    marked = found.select(F.explode(F.split(F.expr(_marked("text", "base")), _END)).alias("s")).filter(F.trim("s") != "")
     entities = F.array_distinct(F.regexp_extract_all("s", F.lit(f"{_OPEN}([^{_CLOSE}]*+){_CLOSE}"), F.lit(1)))
     bare = F.regexp_replace("s", f"{_OPEN}[^{_CLOSE}]*+{_CLOSE}", " ")
-    return marked.select("doc", F.xxhash64("s").alias("sentence"), entities.alias("entities"), F.array_distinct(F.regexp_extract_all(bare, F.lit(_WORD), F.lit(0))).alias("words"))
+    return marked.select(F.xxhash64("s").alias("sentence"), entities.alias("entities"), F.array_distinct(F.regexp_extract_all(bare, F.lit(_WORD), F.lit(0))).alias("words"))
 
 
-def disclosures(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """entity, term, disclosure for terms from GENERALISE on; and the contexts, for what follows."""
+def disclosures(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """entity, term, disclosure for terms from GENERALISE on."""
     sentences = _sentences(docs, text_col)
-    contexts = cut(sentences.select("doc", "sentence", F.explode("entities").alias("entity"), "words").select("doc", "sentence", "entity", F.explode_outer("words").alias("term")))
+    contexts = cut(sentences.select("sentence", F.explode("entities").alias("entity"), "words").distinct().select("sentence", "entity", F.explode_outer("words").alias("term")))
     by_entity = contexts.select("entity", "sentence").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
     by_pair = contexts.filter("term is not null").select("entity", "term", "sentence").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
     total = sentences.select("sentence").distinct().count()
@@ -117,19 +118,24 @@ def disclosures(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, Dat
     terms = cut(pairs.select("term").distinct())
     n_terms = terms.count()
     if n_terms == 0:
-        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure")), contexts
+        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
     said = sentences.select("sentence", F.explode("words").alias("term"))
     said = said.join(F.broadcast(terms) if n_terms <= BROADCAST_ROWS else terms, "term").distinct()
     by_term = said.groupBy("term").agg(F.count("*").alias("n_t"))
     found = pairs.join(by_term, "term").select("entity", "term", rate(F.col("n_t")).alias("disclosure"))
-    return found.filter(F.col("disclosure") >= GENERALISE), contexts
+    return found.filter(F.col("disclosure") >= GENERALISE)
 
 
 def found_spans(docs: DataFrame, text_col: str = "text", out: str = "spans") -> DataFrame:
-    """docs with an array of spans (kind, start, end): the base kinds in order, then revealing terms. Kind is `term` for those to generalise, `gone` for those to remove."""
-    revealing, contexts = disclosures(docs, text_col)
-    by_doc = contexts.join(revealing, ["entity", "term"]).groupBy("doc", "term").agg(F.max("disclosure").alias("disclosure"))
-    by_doc = cut(by_doc.groupBy(F.col("doc").alias("doc")).agg(F.sort_array(F.collect_set(F.when(F.col("disclosure") < REMOVE, F.col("term")))).alias("milder"), F.sort_array(F.collect_set(F.when(F.col("disclosure") >= REMOVE, F.col("term")))).alias("stronger")))
+    """docs with an array of spans (kind, start, end): the base kinds in order, then revealing terms, wherever they stand. Kind is `term` for those to generalise, `gone` for those to remove."""
+    terms = cut(disclosures(docs, text_col).groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+    n_terms = terms.count()
+    if n_terms == 0:
+        return _base(docs, text_col, out)
+    words = F.array_distinct(F.regexp_extract_all(text_col, F.lit(_WORD), F.lit(0)))
+    said = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("doc"), F.explode(words).alias("term"))
+    by_doc = said.join(F.broadcast(terms) if n_terms <= BROADCAST_ROWS else terms, "term").groupBy("doc")
+    by_doc = cut(by_doc.agg(F.sort_array(F.collect_set(F.when(F.col("disclosure") < REMOVE, F.col("term")))).alias("milder"), F.sort_array(F.collect_set(F.when(F.col("disclosure") >= REMOVE, F.col("term")))).alias("stronger")))
     n = by_doc.count()
     marked = _base(docs, text_col, out)
     if n == 0:
