@@ -1,6 +1,7 @@
 """Queries against DuckDB on the smallest tables, and streams against batches."""
 
 import math
+import re
 from pathlib import Path
 
 import duckdb
@@ -29,6 +30,18 @@ def test_against_duckdb(spark, name):
     assert sorted(map(repr, rows)) == sorted(repr(tuple(plain(x) for x in r)) for r in own)
 
 
+def test_passage_guard_brute_force(spark, tmp_path):
+    texts = [(1, "unfused  words stand\nhere"), (2, "one two"), (3, "xone twox"), (4, None), (5, ""), (6, "the elephantine matter of a very long passage that somebody has cuttingly abbreviated here")]
+    passages = [(10, "fused words stand here"), (11, "one two"), (12, ""), (13, None), (14, "elephantine matter of a very long passage that somebody has cuttingly abbreviated"), (15, "a")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(passages, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for folder in (str(tmp_path), "/root/testdata/sf0.01"):
+        rows = lambda name, key: [(r[key], " ".join(x for x in re.split(r"[ \t\n\x0b\f\r]+", r["text"] or "") if x)) for r in spark.read.parquet(f"{folder}/{name}.parquet").collect()]  # noqa: B023, E731
+        heads, bodies = [(i, t[:60]) for i, t in rows("benchmark", "item_id")], rows("documents", "doc_id")
+        expected = sorted((i, j) for i, head in heads if head for j, body in bodies if head in body)
+        assert expected and sorted((r["item_id"], r["doc_id"]) for r in registry.QUERIES["passage_guard"](spark, folder).collect()) == expected
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
