@@ -40,24 +40,102 @@ def test_odd_and_empty_tables(spark, odd, name):
 
 
 def test_simhash_brute_force():
+    from dataclasses import replace
+
     from veriref.llm import simhash
 
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     prints = np.unique(np.r_[base, base ^ (np.uint64(1) << rng.integers(0, 64, 60, dtype=np.uint64)), base ^ np.uint64(0b101), base ^ np.uint64(0b1110000)])
     for blocks in (1, 2):
-        rows, anchor, home = simhash.anchors(prints, blocks)
+        own = replace(simhash.EXACT, blocks=blocks)
+        rows, anchor, home = simhash.anchors(simhash.points_of(prints[:, None], own.places()[0]), own.reach)
         assert set(rows[home]) == set(range(len(prints)))  # everyone has a home
         homes, members = {}, {}
         for r, a, h in zip(rows.tolist(), anchor.tolist(), home.tolist()):
             members.setdefault(a, set()).add(r)
             if h:
                 homes.setdefault(a, set()).add(r)
-        met = {(i, j) for a, own in homes.items() for i in own for j in members[a]}
+        met = {(i, j) for a, own_ in homes.items() for i in own_ for j in members[a]}
         close = np.argwhere(np.bitwise_count(prints[:, None] ^ prints[None]) <= 2)
         assert all((i, j) in met for i, j in close.tolist())
 
 
+def components_of(pairs, nodes):
+    """By brute force: the least node that each reaches."""
+    root = {x: x for x in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {x: find(x) for x in nodes}
+
+
+@pytest.mark.parametrize("at_once", [1 << 21, 1 << 10])
+def test_simhash_forest(monkeypatch, at_once):
+    from veriref.llm import simhash
+
+    monkeypatch.setattr(simhash, "_COMPARED_AT_ONCE", at_once)  # in one step, and in many with a tree that most belong to
+    rng = np.random.default_rng(1)
+
+    def flipped(x, n):
+        return x ^ np.array([[sum(1 << int(b) for b in rng.choice(64, n, False)) for _ in range(2)] for _ in x], np.uint64)
+
+    base = rng.integers(0, 1 << 63, (40, 2), dtype=np.uint64)
+    prints = np.unique(np.concatenate([base, *(flipped(base, n) for n in (3, 9, 12, 13)), *(flipped(base[:1], 5) for _ in range(300))]), axis=0)
+    a, b = simhash.forest(prints[:350], prints, 24)
+    ids = simhash.node_ids(prints)
+    near = np.argwhere(np.bitwise_count(prints[:350, None] ^ prints[None]).sum(axis=2) <= 24)
+    expected = components_of([(int(ids[i]), int(ids[j])) for i, j in near], ids.tolist())
+    assert {int(x): int(y) for x, y in zip(a, b)} == {x: y for x, y in expected.items() if x != y}
+
+
+def test_simhash_query(spark):
+    import xxhash
+
+    from veriref.llm import simhash
+
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+
+    def plain(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        if not words:
+            return 0
+        hashes = [xxhash.xxh64_intdigest(" ".join(words[k : k + 3]).encode(), seed=42) for k in range(max(1, len(words) - 2))]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    prints = {i: plain(t) for i, t in rows}
+    expected = components_of([(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2], list(prints))
+    got = simhash.op9_simhash_near_dedup(spark, DATA).collect()
+    assert {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in got} == {i: (prints[i], expected[i]) for i in prints}
+
+
+def test_near_copies_go(spark):
+    from veriref.llm import simhash
+
+    random.seed(4)
+    words = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(random.choices(words, k=300)) for _ in range(150)]
+
+    def edited(text, n):
+        own = text.split()
+        for k in random.sample(range(len(own)), n):
+            own[k] = "new"
+        return " ".join(own)
+
+    rows = [(k, t, 0) for k, t in enumerate(texts)] + [(1000 + k, edited(t, 3), 1) for k, t in enumerate(texts[:100])] + [(2000, None, 2), (2001, "", 2), (2002, " \t", 2), (2003, "short", 2), (2004, "Short", 2), (None, texts[149], 3), (1, texts[1], 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, stays_id int").withColumnRenamed("stays_id", "same")  # columns that clash with the operator's own
+    kept = [(r["doc_id"], r["same"]) for r in simhash.drop_near_copies(docs).collect()]
+    near = sum(1 for i, _ in kept if i is not None and 1000 <= i < 2000)
+    assert near <= 3 and {i for i, _ in kept if i is None or i < 1000 or i >= 2000} == {*range(150), 2000, 2003} and sum(i == 1 for i, _ in kept) == 1
+    assert simhash.drop_near_copies(docs.limit(0)).columns == docs.columns and simhash.drop_near_copies(docs.limit(0)).count() == 0
+
+
 def test_simhash_components(spark):
     from veriref.llm import simhash
 

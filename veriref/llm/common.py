@@ -25,11 +25,16 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder of spark.checkpoint.dir; a folder of our own only where none is set."""
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the context has, or else that of spark.checkpoint.dir; one of our own only where neither is set."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -74,9 +79,7 @@ def pieces(items: Iterable, size: int) -> Iterator[list]:
 
 
 def cut_to_table(df: DataFrame, name: str) -> DataFrame:
-    """Written as Parquet in the folder of spark.checkpoint.dir, and read again."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints").rstrip("/")
-    path = f"{folder}/tables/{uuid.uuid4().hex}/{name}.parquet"
+    """Written as Parquet in the checkpoint folder, and read again."""
+    path = f"{checkpoint_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}/{name}.parquet"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
