@@ -264,14 +264,48 @@ def test_chat_windows():
         assert back == turns and learnt == "".join(t for r, t in turns if r == "assistant")
 
 
+def against_duck(spark, name, folder, tables):
+    """The rows of a query of this subpackage and those of its SQL, sorted."""
+    import duckdb
+
+    from veriref.llm import registry
+
+    con = duckdb.connect()
+    for t in tables:
+        path = Path(folder) / f"{t}.parquet"
+        con.sql(f"create view {t} as select * from read_parquet('{f'{path}/*.parquet' if path.is_dir() else path}')")
+    frame = registry.QUERIES[name](spark, folder)
+    columns = sorted(frame.columns)
+    rows = [tuple(r[c] for c in columns) for r in frame.collect()]
+    listed = ", ".join('"' + c + '"' for c in columns)
+    sql = [tuple(r) for r in con.sql(f"select {listed} from ({registry.ORACLES[name]})").fetchall()]
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    return sorted(rows, key=key), sorted(sql, key=key)
+
+
 def test_merkle_finds_what_was_damaged(spark):
     from veriref.llm import warc
 
-    pages = spark.range(2000).selectExpr("id as page_id", "concat('http://x/', id) as url", "concat('body ', id) as html")
-    _, slots = warc.audit(warc.tree(warc.records(pages)), warc.tree(warc.records(warc.replica(pages))))
-    found = {r["slot"]: r["status"] for r in slots.collect()}
-    expected = {k: "corrupt" for k in range(2000) if k % 97 == 13 or k % 769 == 5} | {k: "missing" for k in range(2000) if k % 389 == 17}
-    assert found == expected
+    pages = spark.range(9000).selectExpr("id as page_id", "concat('http://x/', id) as url", "concat('body ', id) as html")
+    rows = warc.audit(warc.leaves(pages), warc.leaves(warc.replica(pages))).collect()
+    found = {r["file"] * warc.FILE_IDS + r["slot"]: r["status"] for r in rows if r["status"] != "intact"}
+    assert found == {k: "corrupt" for k in range(9000) if k % 97 == 13 or k % 769 == 5} | {k: "missing" for k in range(9000) if k % 389 == 17}
+    offset = 0
+    for r in sorted(rows, key=lambda r: (r["file"], r["slot"])):
+        offset = 0 if r["slot"] == 0 else offset
+        assert r["offset"] == offset
+        offset += r["length"]
+    same = warc.audit(warc.leaves(pages), warc.leaves(pages)).collect()
+    assert {r["n_compared"] for r in same} == {1} and all(r["status"] == "intact" and r["root_a"] == r["root_b"] for r in same)
+    one = warc.audit(warc.leaves(pages), warc.leaves(pages.filter("page_id <> 4100"))).collect()
+    assert {(r["file"], r["n_compared"]) for r in one} == {(0, 1), (1, 1 + 3 * 16), (2, 1)}  # only the branch above it, its own offsets notwithstanding
+
+
+def test_merkle_odd_ids(spark, tmp_path):
+    rows = [(k, f"u{k}", f"b{k}") for k in (0, 5, 97 + 13, 4095, 4096, 2**60 + 4095, 2**60 + 4096, 2**63 - 1, -1, -4096, -4097, -(2**63))] + [(5, "again", "x"), (5, "again", "x")] + [(None, f"n{k}", None) for k in range(10000)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got, expected = against_duck(spark, "op3_merkle_fixity", str(tmp_path), ["pages"])
+    assert got == expected and len({r[0] for r in got}) > 5 and sum(r[3] for r in got) >= 10000
 
 
 def test_language_held_out(spark):
