@@ -248,6 +248,29 @@ def test_mixing_meets_marginals(spark):
     assert abs(got["l0"] - 0.5) < 1e-3 and abs(got["l2"] - 0.2) < 1e-3
 
 
+def test_mixing_excludes(spark):
+    from pyspark.sql import functions as F
+
+    from veriref.llm import mixing
+
+    docs = spark.createDataFrame([(k, "some words here " * (k % 5), f"l{k % 2}" if k % 7 else None, "abc"[k % 3], 1) for k in range(60)], "doc_id long, text string, lang string, source string, tokens int")
+    out, names = mixing.mixed(docs, F.lit("t"), mixing.Mix(targets={"source": {"a": 1.0}}))
+    rows = out.collect()
+    assert len(rows) == 60 and all(r["tokens"] == 1 for r in rows)
+    assert all((r[names["factor"]] == 0 and not r[names["sampled"]]) for r in rows if r["source"] != "a" and r["text"]) and any(r[names["sampled"]] for r in rows)
+    for targets in ({"source": {"a": 0.0}}, {"source": {"z": 1.0}}):
+        out, names = mixing.mixed(docs, F.lit("t"), mixing.Mix(targets=targets))
+        assert not out.filter(F.col("text") != "").filter(names["sampled"]).count()
+    assert mixing.sample(docs.limit(0)).columns == docs.columns and mixing.sample(docs.limit(0)).count() == 0
+
+
+def test_mixing_is_its_sql(spark):
+    got, expected = against_duck(spark, "op2_source_mixing", DATA, ["documents"])
+    assert len(got) == len(expected)
+    for x, y in zip(got, expected):
+        assert all(a == b or isinstance(a, float) and abs(a - b) <= 2e-6 for a, b in zip(x, y))
+
+
 def test_chat_windows():
     from veriref.llm import chat
 

@@ -1,31 +1,34 @@
 """Operator 2: mixing sources to target weights by iterative proportional fitting, with DataFrame functions alone.
 
-Documents fall into cells of source, language and topic, and a cell's weight is its tokens. Sweeps rake the
-cells in turn to each marginal: a cell is multiplied by target over present share of its source, then of
-its language, then of its topic. The factor by which a cell's weight changed calibrates its documents, and
-a document is drawn with the probability min(1, rate * factor), by a hash of its id; what a probability of 1
-leaves open is kept as `weight`, by which a drawn document counts.
+Documents fall into cells of source, language and topic, and a cell's weight is its tokens. Its raked weight is that
+times a multiplier of its source, one of its language and one of its topic. A sweep sets the multipliers of each
+dimension in turn to target over present weight, until no marginal is further than `tolerance` from its target, or
+`sweeps` are done. The product of the multipliers calibrates a cell's documents, and a document is drawn with the
+probability min(1, rate * factor), by a hash of its id; what a probability of 1 leaves open is kept as `weight`, by
+which a drawn document counts.
 
-Targets are shares of the marginals to a power (`tempering`), so rare sources and languages gain; or given.
-The tables carry no topic; the query passes the register of a text (`register`): tables, symbols, shouting,
-digits, short and long prose.
+Targets are shares of the marginals to a power (`tempering`), so rare sources and languages gain; or given. What
+given targets leave out, or give 0, is not to be drawn: its cells have the factor 0. The tables carry no topic; the
+query passes the register of a text (`register`): tables, symbols, shouting, digits, short and long prose.
 
-Only cells are shuffled, as partial sums: a hot source is one row a task and cell. A sweep is three windows
-over the cells. Marginals and cells are broadcast if they're counted to be few, else joined by shuffle.
+A text is read once for its tokens and topic. Only cells are shuffled, as partial sums: a hot source is one row a task
+and cell. Multipliers are a row for each value, broadcast if they're counted to be few, else joined by shuffle.
 
 Defined results: a null source, language or topic is a value of its own, `(none)`; null and empty texts
-have no tokens and the factor of their cell, a cell without tokens the factor 1; repeated rows and rows of
-equal or null ids are drawn or not together; an empty table gives an empty result; other columns are kept.
+have no tokens and the factor of their cell, a cell without tokens the factor 1; if targets exclude every cell
+nothing is drawn; repeated rows and rows of equal or null ids are drawn or not together; an empty table gives an
+empty result; other columns are kept.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriref.llm.common import BROADCAST_ROWS, cut, fresh, table
+from veriref.llm.common import BROADCAST_ROWS, cut, cut_to_table, fresh, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 NONE = "(none)"
@@ -33,11 +36,12 @@ NONE = "(none)"
 
 @dataclass(frozen=True)
 class Mix:
-    """tempering: a power for each dimension; targets: shares by value that replace tempered ones; rate: of a cell whose weight stays."""
+    """tempering: a power for each dimension; targets: shares by value that replace tempered ones; sweeps: at most; tolerance: of a marginal, relative to its target; rate: of a cell whose weight stays."""
 
     tempering: tuple[tuple[str, float], ...] = (("source", 0.7), ("lang", 0.8), ("topic", 1.0))
     targets: dict[str, dict[str, float]] = field(default_factory=dict)
     sweeps: int = 8
+    tolerance: float = 1e-9
     rate: float = 0.9
     seed: str = "mix-1"
 
@@ -59,46 +63,68 @@ def draw(seed: str, id_: Column) -> Column:
 
 def fit(cells: DataFrame, own: Mix = Mix()) -> DataFrame:
     """Cells (the dimensions, tokens) with `raked`, the weight that their marginals ask for, and `factor`."""
-    cells = cut(cells.filter("tokens > 0").withColumn("raked", F.col("tokens").cast("double")))
-    total = cells.agg(F.coalesce(F.sum("raked"), F.lit(0.0))).first()[0]
+    cells = cut(cells.filter("tokens > 0").withColumn("weight", F.col("tokens").cast("double")))
+    total = cells.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+    dims = [name for name, _ in own.tempering]
+    wanted = []
     for name, power in own.tempering:
         given = own.targets.get(name)
-        share = F.pow(F.sum("raked") / F.lit(total or 1.0), F.lit(power))
+        share = F.pow(F.sum("weight") / F.lit(total or 1.0), F.lit(power))
         if given:
             share = F.coalesce(F.create_map(*[F.lit(x) for pair in given.items() for x in pair])[F.col(name)], F.lit(0.0))
-        wanted = cells.groupBy(name).agg(share.alias("wanted"))
-        of_all = wanted.agg(F.sum("wanted").alias("of_all"))
-        wanted = cut(wanted.join(F.broadcast(of_all)).select(name, (F.col("wanted") / F.col("of_all") * total).alias(f"wanted_{name}")))
-        cells = cells.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, name)
-    cells = cut(cells)
-    for sweep in range(own.sweeps):
-        for name, _ in own.tempering:
-            present = F.sum("raked").over(Window.partitionBy(name))
-            cells = cells.withColumn("raked", F.col("raked") * (F.col(f"wanted_{name}") / present))
-        if sweep % 4 == 3 or sweep == own.sweeps - 1:
-            cells = cut(cells)
-    return cells.withColumn("factor", F.col("raked") / F.col("tokens"))
-
-
-def mixed(docs: DataFrame, topic: Column, own: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> tuple[DataFrame, dict[str, str]]:
-    """docs with the columns topic, tokens, factor, probability, weight and sampled, whose names are returned by these."""
+        wanted.append(cells.groupBy(F.lit(name).alias("dim"), F.col(name).alias("value")).agg(share.alias("wanted")))
+    wanted = reduce(DataFrame.unionAll, wanted)
+    of_all = wanted.groupBy("dim").agg(F.sum("wanted").alias("of_all"))
+    scaled = F.coalesce(F.try_divide(F.col("wanted") * F.lit(total), F.col("of_all")), F.lit(0.0))
+    # One row for each value of each dimension: its target and its multiplier.
+    found = cut(wanted.join(F.broadcast(of_all), "dim").select("dim", "value", scaled.alias("wanted"), F.when(F.col("wanted") > 0, 1.0).otherwise(0.0).alias("by"), F.lit(0.0).alias("gap")))
+    few = found.count() <= BROADCAST_ROWS
+
+    def of(name: str, rows: DataFrame) -> DataFrame:
+        rows = rows.filter(F.col("dim") == name).select(F.col("value").alias(name), F.col("wanted").alias(f"wanted_{name}"), F.col("by").alias(f"by_{name}"))
+        return F.broadcast(rows) if few else rows
+
+    def raked(multipliers: dict[str, DataFrame]) -> DataFrame:
+        out, product = cells, F.col("weight")
+        for name in dims:
+            out, product = out.join(multipliers[name], name), product * F.col(f"by_{name}")
+        return out.withColumn("raked", product)
+
+    for _ in range(own.sweeps):
+        multipliers, after = {name: of(name, found) for name in dims}, []
+        for name in dims:
+            present, target = F.sum("raked"), F.first(f"wanted_{name}")
+            new = F.coalesce(F.try_divide(F.first(f"by_{name}") * target, present), F.lit(0.0))
+            # How far the marginal was before this step says whether a sweep has changed anything.
+            gap = F.when((target > 0) & (present > 0), F.abs(present / target - 1)).otherwise(0.0)
+            after.append(raked(multipliers).groupBy(F.lit(name).alias("dim"), F.col(name).alias("value")).agg(target.alias("wanted"), new.alias("by"), gap.alias("gap")))
+            multipliers[name] = of(name, after[-1])
+        found = cut(reduce(DataFrame.unionAll, after))
+        if (found.agg(F.max("gap")).first()[0] or 0.0) <= own.tolerance:
+            break
+    return raked({name: of(name, found) for name in dims}).withColumn("factor", F.col("raked") / F.col("weight")).select(*dims, "tokens", "raked", "factor")
+
+
+def mixed(docs: DataFrame, topic: Column, own: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", without: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """docs (without some columns that aren't needed any more) with the columns topic, tokens, factor, probability, weight and sampled, whose names are returned by these."""
     names = {x: fresh(docs, x) for x in ("source", "lang", "topic", "tokens", "factor", "probability", "weight", "sampled")}
-    marked = docs.withColumns(
-        {
+    marked = cut_to_table(
+        docs.withColumns({
             names["source"]: F.coalesce(F.col(source_col).cast("string"), F.lit(NONE)),
             names["lang"]: F.coalesce(F.col(lang_col).cast("string"), F.lit(NONE)),
             names["topic"]: F.coalesce(topic.cast("string"), F.lit(NONE)),
             names["tokens"]: F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"),
-        }
+        }).drop(*without),
+        "marked",
     )
     dims = ["source", "lang", "topic"]
     cells = marked.groupBy(*[F.col(names[x]).alias(x) for x in dims]).agg(F.sum(names["tokens"]).alias("tokens"))
     fitted = fit(cells, own).select(*[F.col(x).alias(names[x]) for x in dims], F.col("factor").alias(names["factor"]))
-    few = fitted.count() <= BROADCAST_ROWS
-    joined = marked.join(F.broadcast(fitted) if few else fitted, [names[x] for x in dims], "left").withColumn(names["factor"], F.coalesce(names["factor"], F.lit(1.0)))
+    fitted = cut(fitted)
+    joined = marked.join(F.broadcast(fitted) if fitted.count() <= BROADCAST_ROWS else fitted, [names[x] for x in dims], "left").withColumn(names["factor"], F.coalesce(names["factor"], F.lit(1.0)))
     odds = F.col(names["factor"]) * F.lit(own.rate)
     out = joined.withColumn(names["probability"], F.least(odds, F.lit(1.0)))
-    return out.withColumn(names["weight"], odds / F.col(names["probability"])).withColumn(names["sampled"], draw(own.seed, F.col(id_col)) < F.col(names["probability"])), names
+    return out.withColumn(names["weight"], F.coalesce(F.try_divide(odds, F.col(names["probability"])), F.lit(0.0))).withColumn(names["sampled"], draw(own.seed, F.col(id_col)) < F.col(names["probability"])), names
 
 
 def sample(docs: DataFrame, own: Mix = Mix(), text_col: str = "text") -> DataFrame:
@@ -109,7 +135,7 @@ def sample(docs: DataFrame, own: Mix = Mix(), text_col: str = "text") -> DataFra
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    out, names = mixed(docs, register(F.col("text")))
+    out, names = mixed(docs, register(F.col("text")), without=("text", "lang", "source"))
     rounded = [F.round(names[x], 6).alias(x) for x in ("factor", "probability", "weight")]
     return out.select("doc_id", *[F.col(names[x]).alias(x) for x in ("source", "lang", "topic", "tokens")], *rounded, F.col(names["sampled"]).alias("sampled"))
 
