@@ -236,6 +236,47 @@ def test_quality_counts():
     assert quality.counts(None)[0] == 0 and abs(quality.chi_quantile(0.999, 6) - 22.458) < 0.01
 
 
+def test_quality_brute_force(spark):
+    """The least determinant of all subsets of a small group, and the planted outliers of a large one."""
+    import itertools
+
+    from veriref.llm import quality
+
+    rng = np.random.default_rng(5)
+    d, n = len(quality.VECTOR), 16
+    small = np.r_[rng.normal(0, 0.4, (12, d)), rng.normal(4, 0.4, (4, d))]
+    large = np.r_[rng.normal(0, 1, (900, d)), rng.normal(0, 0.1, (200, d)) + 9]
+    rows = [("a", *map(float, x)) for x in small] + [("b", *map(float, x)) for x in large]
+    found = {r["grp"]: r for r in quality.raw_estimates(spark.createDataFrame(rows, "grp string, " + ", ".join(f"x{k} double" for k in range(d)))).collect()}
+    floors, factor = np.diag(np.square(quality.FLOORS)), quality.consistency(quality.COVERAGE)
+    dets = {own: np.linalg.slogdet(factor * np.cov(small[list(own)].T, bias=True) + floors)[1] for own in itertools.combinations(range(n), 12)}
+    assert abs(found["a"]["log_det"] - min(dets.values())) < 1e-6
+    assert np.abs([found["a"][f"m{k}"] - small[list(min(dets, key=dets.get))].mean(axis=0)[k] for k in range(d)]).max() < 1e-6
+    center = np.array([found["b"][f"m{k}"] for k in range(d)])
+    assert np.abs(center).max() < 0.3  # the masses at 9 haven't moved it
+
+
+def test_quality_query(spark):
+    from veriref.llm import quality
+
+    def plain(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        often = {w for w in windows if windows.count(w) > 1} if len(windows) < 1500 else {w for w, c in __import__("collections").Counter(windows).items() if c > 1}
+        repeated = len({k + j for k, w in enumerate(windows) if w in often for j in range(3)})
+        lines, seen, dup = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)], set(), 0
+        for line in lines:
+            dup += line in seen
+            seen.add(line)
+        return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dup, repeated
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    for r in quality.op1_quality_outliers(spark, DATA).collect():
+        own = plain(texts[r["doc_id"]])
+        assert own == (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"])
+        assert r["base_failed"] == (own[0] < 50 or 100 * own[4] > 50 * own[0]) and not (r["kept"] and r["base_failed"])
+
+
 def test_mixing_meets_marginals(spark):
     from pyspark.sql import functions as F
 

@@ -5,17 +5,21 @@ that repeat, words in repeated passages, upper-case letters, and how the vocabul
 each language and source the minimum-covariance-determinant estimate of location and scatter is found, and
 a text is rejected if its squared Mahalanobis distance is beyond the chi-square quantile `QUANTILE`.
 
-The estimate starts from medians and median deviations, and concentrates: the `COVERAGE` of rows nearest to
-the present estimate give the next one. It is done for all groups at once and over all rows. A histogram of
-log distances gives each group's cut, at the end of a bin, and sums of the rows up to it the next mean and
-covariance; both are partial sums, so no group is ever in one task. Variances have floors (`FLOORS`), as
-many statistics are almost always zero. Groups of fewer than `LEAST` rows join those of their language, and
+An estimate starts from medians and median deviations, and others from small sets of rows that hashes choose
+(`STARTS` in all). Each concentrates: the `COVERAGE` of rows nearest to the present estimate give the next one. After
+`TRIALS` steps the start of the least determinant is kept for each group, and it goes on until no determinant falls by
+more than `SETTLED`, `STEPS` at most; the least determinant seen is the estimate. It is then reweighted: the rows
+within the chi-square quantile `NEAR` of it give the final location and scatter. All groups are done at once and over
+all rows. A histogram of log distances gives each group's cut, and the rows of the bin where it falls count in part, so
+that a step's weight is exact; sums of the rows give means and covariances. Both are partial sums, so no group is ever
+in one task. Variances have floors (`FLOORS`, added to every scatter before its determinant is taken), as many
+statistics are almost always zero. Groups of fewer than `LEAST` rows join those of their language, and
 these, if still few, all rows.
 
 Base rules come first: texts that fail them are no part of the estimates and aren't kept.
 
 Defined results: a null text has no words and fails the base rules, as does an empty one; a null language or
-source is a value of its own; rows that repeat count as often as they do; an empty table gives an empty
+source is a value of its own, other than an empty one; rows that repeat count as often as they do; an empty table gives an empty
 result; other columns are ignored. If no estimate can be made (no row passes the base rules), none is needed.
 """
 
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,7 +45,8 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 VECTOR = ["word_length", "symbols", "dup_lines", "repeats", "upper", "vocabulary"]
 #: Standard deviations that are added to those of each statistic.
 FLOORS = [0.08, 0.5, 0.15, 0.2, 0.5, 0.05]
-COVERAGE, STEPS, LEAST, QUANTILE = 0.75, 4, 200, 0.999
+COVERAGE, LEAST, QUANTILE, NEAR = 0.75, 200, 0.999, 0.975
+STARTS, TRIALS, STEPS, SETTLED, SEEDS = 3, 2, 8, 1e-3, 24
 ALL = "*"
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BINS = 16  # of distances, an octave
@@ -105,8 +111,11 @@ def chi_quantile(p: float, degrees: int) -> float:
     return high
 
 
-#: The covariance of the nearest COVERAGE of a normal sample is too small by this factor.
-CONSISTENCY = COVERAGE / chi_square(chi_quantile(COVERAGE, len(VECTOR)), len(VECTOR) + 2)
+def consistency(share: float) -> float:
+    """The covariance of the nearest `share` of a normal sample is too small by this factor."""
+    return share / chi_square(chi_quantile(share, len(VECTOR)), len(VECTOR) + 2)
+
+
 _D = len(VECTOR)
 _PAIRS = [(i, j) for i in range(_D) for j in range(i, _D)]
 _MEANS = [f"m{i}" for i in range(_D)]
@@ -124,68 +133,109 @@ def _distance() -> Column:
 
 
 def _inverted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each group: means and covariances (c..) to means and the inverse (p..) of the covariance with its floors."""
+    """A row for each estimate: means and covariances (c..) to means, the inverse (p..) of the covariance with its floors, and the logarithm of its determinant."""
     for own in batches:
         scatter = np.zeros((len(own), _D, _D))
         for i, j in _PAIRS:
             scatter[:, i, j] = scatter[:, j, i] = own[f"c{i}{j}"].to_numpy(float)
         scatter[:, range(_D), range(_D)] += np.square(FLOORS)
         inverse = np.linalg.inv(scatter)
-        yield pd.DataFrame({"grp": own["grp"], **{m: own[m] for m in _MEANS}, **{f"p{i}{j}": inverse[:, i, j] for i, j in _PAIRS}})
+        yield pd.DataFrame({"grp": own["grp"], "start": own["start"], "log_det": np.linalg.slogdet(scatter)[1], **{m: own[m] for m in _MEANS}, **{f"p{i}{j}": inverse[:, i, j] for i, j in _PAIRS}})
+
+
+_ESTIMATE = "grp string, start int, log_det double, " + ", ".join(f"{x} double" for x in [*_MEANS, *_INVERSE])
+_FEW = BROADCAST_ROWS // 10
+
+
+def _with(rows: DataFrame, small: DataFrame, *keys: str) -> DataFrame:
+    return rows.join(F.broadcast(small) if small.count() <= _FEW else small, list(keys or ("grp",)))
 
 
-_ESTIMATE = "grp string, " + ", ".join(f"{x} double" for x in [*_MEANS, *_INVERSE])
+def _summed(weighted: DataFrame, factor: float) -> DataFrame:
+    """The estimates of rows that carry a weight w and the means m.. that they're measured from."""
+    w, gap = F.col("w"), [F.col(f"x{i}") - F.col(f"m{i}") for i in range(_D)]
+    sums = weighted.groupBy("grp", "start").agg(F.sum(w).alias("n"), *[F.sum(w * gap[i]).alias(f"s{i}") for i in range(_D)], *[F.sum(w * gap[i] * gap[j]).alias(f"q{i}{j}") for i, j in _PAIRS], *[F.first(m).alias(m) for m in _MEANS])
+    means = [(F.col(f"m{i}") + F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(_D)]
+    scatter = [(factor * (F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n") / F.col("n"))).alias(f"c{i}{j}") for i, j in _PAIRS]
+    return cut(sums.filter("n > 0").select("grp", "start", *means, *scatter).mapInPandas(_inverted, _ESTIMATE))
 
 
 def _first(rows: DataFrame) -> DataFrame:
-    """Medians, and median deviations as a diagonal covariance."""
-    medians = cut(rows.groupBy("grp").agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(_D)]))
+    """The starts: medians with median deviations as a diagonal covariance, and small sets of rows around them."""
+    medians = cut(rows.groupBy("grp").agg(F.count("*").alias("of_all"), *[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(_D)]))
     away = _with(rows, medians).groupBy("grp").agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i in range(_D)])
     scatter = [(F.pow(1.4826 * F.col(f"d{i}"), 2.0) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS]
-    return cut(away.join(medians, "grp").select("grp", *_MEANS, *scatter).mapInPandas(_inverted, _ESTIMATE))
-
-
-def _with(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    return rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_ROWS // 10 else groups, "grp")
+    middle = cut(away.join(medians, "grp").select("grp", F.lit(0).alias("start"), *_MEANS, *scatter).mapInPandas(_inverted, _ESTIMATE))
+    chance = F.pmod(F.xxhash64("start", *[f"x{i}" for i in range(_D)]), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = _with(rows, medians).withColumn("start", F.explode(F.array(*map(F.lit, range(1, STARTS))))).withColumn("w", F.lit(1.0)).filter(chance * F.col("of_all") < SEEDS)
+    return cut(middle.unionByName(_summed(drawn, 1.0)))
+
+
+def _concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """The estimates of the rows nearest to the present ones, for each group and start."""
+    placed = _with(rows, estimates).withColumn("bin", F.floor(F.log2(_distance() + 1e-9) * _BINS).cast("int"))
+    histogram = placed.groupBy("grp", "start", "bin").agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("grp", "start").orderBy("bin")) - F.col("n")
+    wanted = F.ceil(COVERAGE * F.sum("n").over(Window.partitionBy("grp", "start")))
+    share = F.least(F.lit(1.0), (F.col("wanted") - F.col("before")) / F.col("n"))
+    shares = cut(histogram.select("grp", "start", "bin", "n", so_far.alias("before"), wanted.alias("wanted")).filter("before < wanted").select("grp", "start", "bin", share.alias("w")))
+    return _summed(_with(placed, shares, "grp", "start", "bin"), consistency(COVERAGE))
+
+
+def _least(*estimates: DataFrame) -> DataFrame:
+    """Of each group's estimates that of the least determinant."""
+    order = F.row_number().over(Window.partitionBy("grp").orderBy("log_det", "start"))
+    return cut(reduce(DataFrame.unionByName, estimates).withColumn("place", order).filter("place = 1").drop("place"))
+
+
+def raw_estimates(rows: DataFrame) -> DataFrame:
+    """Of rows (grp, x0..) the concentrated set of the least determinant found for each group: its means (m..), inverse (p..) and log_det."""
+    now = _first(rows)
+    for _ in range(TRIALS):
+        now = _concentrated(rows, now)
+    best = _least(now)
+    now = best
+    for _ in range(STEPS):
+        now = _concentrated(rows, now)
+        before = best.select("grp", F.col("log_det").alias("before"))
+        falling = now.join(before, "grp").filter(F.col("before") - F.col("log_det") > SETTLED).isEmpty()
+        best = _least(best, now)
+        if falling:
+            break
+    return best
 
 
-def _concentrated(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """The estimate of the rows nearest to the present one."""
-    placed = _with(rows, estimate).withColumn("bin", F.floor(F.log2(_distance() + 1e-9) * _BINS).cast("int"))
-    histogram = placed.groupBy("grp", "bin").agg(F.count("*").alias("n"))
-    so_far = F.sum("n").over(Window.partitionBy("grp").orderBy("bin")) - F.col("n")
-    of_all = F.sum("n").over(Window.partitionBy("grp"))
-    last = cut(histogram.select("grp", "bin", so_far.alias("before"), of_all.alias("of_all")).filter(F.col("before") < COVERAGE * F.col("of_all")).groupBy("grp").agg(F.max("bin").alias("last")))
-    near = _with(placed, last).filter("bin <= last")
-    sums = near.groupBy("grp").agg(F.count("*").alias("n"), *[F.sum(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"s{i}") for i in range(_D)], *[F.sum((F.col(f"x{i}") - F.col(f"m{i}")) * (F.col(f"x{j}") - F.col(f"m{j}"))).alias(f"q{i}{j}") for i, j in _PAIRS], *[F.first(m).alias(m) for m in _MEANS])
-    means = [(F.col(f"m{i}") + F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(_D)]
-    scatter = [(CONSISTENCY * (F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n") / F.col("n"))).alias(f"c{i}{j}") for i, j in _PAIRS]
-    return cut(sums.select("grp", *means, *scatter).mapInPandas(_inverted, _ESTIMATE))
+def estimates(rows: DataFrame) -> DataFrame:
+    """The raw estimates reweighted; log_det stays that of the raw ones."""
+    raw = raw_estimates(rows)
+    near = _with(rows, raw).filter(_distance() <= chi_quantile(NEAR, _D)).withColumn("w", F.lit(1.0))
+    final = _summed(near, consistency(NEAR)).drop("log_det")
+    return cut(final.join(raw.select("grp", "log_det"), "grp"))
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """A row for each of docs: doc_id, lang, source, COUNTS, base_failed, grp, distance (squared; null if base_failed) and kept."""
+    """A row for each of docs: doc_id, lang, source, COUNTS, base_failed, grp, log_det (of its group's estimate), distance (squared; null if base_failed) and kept."""
     small_batches(docs.sparkSession)
-    named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), counted(F.col(text_col)).alias("own"))
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), counted(F.col(text_col)).alias("own"))
     base = cut(named.select("doc_id", "lang", "source", "own.*").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))))
-    good = base.filter("not base_failed")
-    pairs = good.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    # Names with their lengths, so that no two pairs have one key; null has none.
+    key = lambda x: F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), F.col(x)), F.lit("-"))
+    good = base.filter("not base_failed").withColumns({"of_lang": key("lang"), "of_source": key("source")})
+    pairs = good.groupBy("of_lang", "of_source").agg(F.count("*").alias("n"))
     # Pairs that are too few join the rest of their language; what is then too few joins all.
-    rest = pairs.filter(F.col("n") < LEAST).groupBy("lang").agg(F.sum("n").alias("n_rest"))
-    key = F.when(F.col("n") >= LEAST, F.concat_ws("\u0001", "lang", "source")).when(F.col("n_rest") >= LEAST, F.concat_ws("\u0001", "lang", F.lit(ALL))).otherwise(F.lit(ALL))
-    groups = cut(pairs.join(rest, "lang", "left").select("lang", "source", key.alias("grp")))
-    few = groups.count() <= BROADCAST_ROWS // 10
-    placed = good.join(F.broadcast(groups) if few else groups, ["lang", "source"])
-    rows = cut(placed.select("grp", *[x.alias(f"x{i}") for i, x in enumerate(vector())]))
-    estimate = _first(rows)
-    for _ in range(STEPS):
-        estimate = _concentrated(rows, estimate)
-    vectors = base.join(F.broadcast(groups) if few else groups, ["lang", "source"], "left").withColumns({f"x{i}": x for i, x in enumerate(vector())})
+    rest = pairs.filter(F.col("n") < LEAST).groupBy("of_lang").agg(F.sum("n").alias("n_rest"))
+    grp = F.when(F.col("n") >= LEAST, F.concat("of_lang", "of_source")).when(F.col("n_rest") >= LEAST, F.concat("of_lang", F.lit(ALL))).otherwise(F.lit(ALL))
+    groups = cut(pairs.join(rest, "of_lang", "left").select("of_lang", "of_source", grp.alias("grp")))
+    rows = cut(_with(good, groups, "of_lang", "of_source").select("grp", *[x.alias(f"x{i}") for i, x in enumerate(vector())]))
+    estimate = estimates(rows)
+    few = groups.count() <= _FEW
+    keyed = base.withColumns({"of_lang": key("lang"), "of_source": key("source")})
+    vectors = keyed.join(F.broadcast(groups) if few else groups, ["of_lang", "of_source"], "left").withColumns({f"x{i}": x for i, x in enumerate(vector())})
     measured = vectors.join(F.broadcast(estimate) if few else estimate, "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     limit = chi_quantile(QUANTILE, _D)
-    return measured.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(False))).select("doc_id", "lang", "source", *COUNTS, "base_failed", "grp", "distance", "kept")
+    return measured.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(False))).select("doc_id", "lang", "source", *COUNTS, "base_failed", "grp", "log_det", "distance", "kept")
 
 
 def op1_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = judged(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 4).alias("distance"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 4).alias("distance"), F.round("log_det", 4).alias("log_det"))
