@@ -309,6 +309,9 @@ def decoded(tokens: Column, path: str = RANKS) -> Column:
 
 
 def encode(docs: DataFrame, text_col: str = "text", out_col: str = "tokens", path: str = RANKS) -> DataFrame:
+    """docs with the tokens in a column of a new name."""
+    if out_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {out_col} already")
     small_batches(docs.sparkSession)
     return docs.withColumn(out_col, encoded(F.col(text_col), path))
 

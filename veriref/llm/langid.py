@@ -9,14 +9,13 @@ training documents. A margin below `Settings.margin` is narrow: such a predictio
 Learnt is only from documents with a language that aren't held out: of each language those of the least
 hashes, up to `documents`, and of each so many characters (`chars`), up to `dictionary` bytes.
 
-Defined results: a null text or one without a letter is `und`, with the score 0, and rejected; so is every
+Defined results: a null text or one without a letter (a character of category L) is `und`, with the score 0, and rejected; so is every
 text if there is nothing to learn from. With one language the score is 1. Repeated rows get equal results;
 a null id has no fold and isn't held out; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -31,7 +30,6 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 from veriref.llm.common import held_out, small_batches, table, utf8
 
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -77,7 +75,7 @@ def _compressors(model: tuple[tuple[str, bytes], ...], level: int) -> list[zstan
 
 def classify(text: str | None, model: tuple[tuple[str, bytes], ...], own: Settings = Settings()) -> tuple[str, float, bool]:
     """Language, score from 0 to 1 (the lead over the next language, against the narrow margin), whether it is rejected."""
-    if not model or text is None or not _LETTER.search(text):
+    if not model or text is None or not any(map(str.isalpha, text)):
         return UNDETERMINED, 0.0, True
     whole, compressors = folded(text), _compressors(model, own.level)
     sizes = [0] * len(model)
@@ -97,7 +95,9 @@ _FOUND = StructType([StructField("lang", StringType()), StructField("score", Dou
 
 
 def identify(docs: DataFrame, model: list[tuple[str, bytes]], text_col: str = "text", out_col: str = "found", own: Settings = Settings()) -> DataFrame:
-    """docs with a struct of lang, score and rejected."""
+    """docs with a struct of lang, score and rejected in a column of a new name."""
+    if out_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {out_col} already")
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
