@@ -37,6 +37,8 @@ from veriref.llm.common import BROADCAST_ROWS, cut, small_batches, table, utf8
 
 BINS, BITS, WORDS = 512, 4, 5
 EMPTY = ""
+#: Bytes of text in a range of ids, on average; a session's shuffle partitions give more ranges where that is more.
+RANGE_BYTES = 32 << 20
 _BYTES_AT_ONCE = 1 << 20
 _BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BLANK = np.zeros(256, bool)
@@ -174,9 +176,9 @@ def _ranges(ids: DataFrame, n: int) -> Column:
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Of doc_id, text: the same with print, next_text and next_print; next is the row that follows by doc_id (then text), and the first after the last."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select("doc_id")
-    bucket = _ranges(ids, 2 * n)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bucket = _ranges(ids, max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES))
     firsts = cut(ids.groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("doc_id")))
     every = Window.partitionBy(F.lit(0))  # a row for each range
     guests = firsts.select(F.col("doc_id").alias("guest"), "bucket", F.coalesce(F.lag("bucket").over(every.orderBy("bucket")), F.max("bucket").over(every)).alias("host"))
@@ -184,7 +186,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     ranged = docs.withColumn("bucket", bucket)
     own = ranged.join(F.broadcast(guests) if few else guests, ["bucket"]).filter(F.col("doc_id").eqNullSafe(F.col("guest")))
     visiting = own.groupBy("host").agg(F.min(F.struct("doc_id", "text")).alias("x")).select("x.doc_id", "x.text", F.col("host").alias("bucket"), F.lit(1).alias("visits"))
-    both = ranged.withColumn("visits", F.lit(0)).unionByName(visiting).withColumn("print", fingerprints("text"))
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
+    both = ranged.withColumn("visits", F.lit(0)).unionByName(visiting).withColumn("print", fingerprints("text")).repartition(n, "bucket")
     order = Window.partitionBy("bucket").orderBy("visits", "doc_id", "text")
     return both.withColumn("next_text", F.lead("text").over(order)).withColumn("next_print", F.lead("print").over(order)).filter("visits = 0")
 
