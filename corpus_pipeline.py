@@ -14,29 +14,29 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10, trained on the labelled documents of the folder. Documents that it rejects go."""
+    """Operator 10, trained on the labelled documents of the folder. Documents that it rejects go; with fewer labels of either kind than `toxicity.Settings.least` none does. Null and empty texts are scored like any other."""
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, model)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9. Of each group of near copies the document of the least id stays."""
+    """Operator 9, by its search for a likeness of 0.8 over 5-word shingles. Of each group of near copies the document of the least id stays; texts without words are copies of one another."""
     return simhash.drop_near_copies(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7. Personal data and the terms that reveal it are replaced in the texts."""
+    """Operator 7. Personal data and the terms that reveal it are replaced in the texts; a null text stays null. Every row stays."""
     return pii.sanitise(docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2. Documents are drawn by calibrated probabilities."""
+    """Operator 2. Documents are drawn by calibrated probabilities; rows of equal id are drawn or not together."""
     return mixing.sample(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4. Token ids with the digests of the ids and of the bytes that they decode to."""
-    out = bpe.encode(docs, out_col="tokens")
+    """Operator 4. Token ids with the digests of the ids and of the bytes that they decode to; a null text has no tokens."""
+    out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), out_col="tokens")
     ids = F.col("tokens")["ids"]
     return out.select("doc_id", "lang", "source", F.size(ids).cast("long").alias("n_tokens"), ids.alias("ids"), F.sha2(bpe.decoded(F.col("tokens")), 256).alias("decoded_sha256"))
 
