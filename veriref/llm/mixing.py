@@ -1,9 +1,9 @@
 """Operator 2: mixing sources to target weights by iterative proportional fitting, with DataFrame functions alone.
 
-Documents fall into cells of source, language and topic, and a cell's weight is its tokens. Its raked weight is that
-times a multiplier of its source, one of its language and one of its topic. A sweep sets the multipliers of each
-dimension in turn to target over present weight, until no marginal is further than `tolerance` from its target, or
-`sweeps` are done. The product of the multipliers calibrates a cell's documents, and a document is drawn with the
+Documents fall into cells of source, language and topic, and a cell's weight is its tokens. Sweeps rake the
+cells in turn to each marginal: a cell is multiplied by target over present weight of its source, then of its
+language, then of its topic, until a sweep changes nothing by more than `tolerance`, or `sweeps` are done. The
+factor by which a cell's weight changed calibrates its documents, and a document is drawn with the
 probability min(1, rate * factor), by a hash of its id; what a probability of 1 leaves open is kept as `weight`, by
 which a drawn document counts.
 
@@ -12,7 +12,8 @@ given targets leave out, or give 0, is not to be drawn: its cells have the facto
 query passes the register of a text (`register`): tables, symbols, shouting, digits, short and long prose.
 
 A text is read once for its tokens and topic. Only cells are shuffled, as partial sums: a hot source is one row a task
-and cell. Multipliers are a row for each value, broadcast if they're counted to be few, else joined by shuffle.
+and cell. Marginals are partial sums too, a row for each value, broadcast if they're counted to be few, else joined by shuffle;
+the cells are cut after each step, so no plan grows.
 
 Defined results: a null source, language or topic is a value of its own, `(none)`; null and empty texts
 have no tokens and the factor of their cell, a cell without tokens the factor 1; if targets exclude every cell
@@ -23,7 +24,6 @@ empty result; other columns are kept.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,44 +65,28 @@ def fit(cells: DataFrame, own: Mix = Mix()) -> DataFrame:
     """Cells (the dimensions, tokens) with `raked`, the weight that their marginals ask for, and `factor`."""
     cells = cut(cells.filter("tokens > 0").withColumn("weight", F.col("tokens").cast("double")))
     total = cells.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
-    dims = [name for name, _ in own.tempering]
-    wanted = []
+    few = {}
     for name, power in own.tempering:
         given = own.targets.get(name)
         share = F.pow(F.sum("weight") / F.lit(total or 1.0), F.lit(power))
         if given:
             share = F.coalesce(F.create_map(*[F.lit(x) for pair in given.items() for x in pair])[F.col(name)], F.lit(0.0))
-        wanted.append(cells.groupBy(F.lit(name).alias("dim"), F.col(name).alias("value")).agg(share.alias("wanted")))
-    wanted = reduce(DataFrame.unionAll, wanted)
-    of_all = wanted.groupBy("dim").agg(F.sum("wanted").alias("of_all"))
-    scaled = F.coalesce(F.try_divide(F.col("wanted") * F.lit(total), F.col("of_all")), F.lit(0.0))
-    # One row for each value of each dimension: its target and its multiplier.
-    found = cut(wanted.join(F.broadcast(of_all), "dim").select("dim", "value", scaled.alias("wanted"), F.when(F.col("wanted") > 0, 1.0).otherwise(0.0).alias("by"), F.lit(0.0).alias("gap")))
-    few = found.count() <= BROADCAST_ROWS
-
-    def of(name: str, rows: DataFrame) -> DataFrame:
-        rows = rows.filter(F.col("dim") == name).select(F.col("value").alias(name), F.col("wanted").alias(f"wanted_{name}"), F.col("by").alias(f"by_{name}"))
-        return F.broadcast(rows) if few else rows
-
-    def raked(multipliers: dict[str, DataFrame]) -> DataFrame:
-        out, product = cells, F.col("weight")
-        for name in dims:
-            out, product = out.join(multipliers[name], name), product * F.col(f"by_{name}")
-        return out.withColumn("raked", product)
-
+        wanted = cut(cells.groupBy(name).agg(share.alias("share")))
+        n, of_all = wanted.agg(F.count("*"), F.coalesce(F.sum("share"), F.lit(0.0))).first()
+        few[name] = n <= BROADCAST_ROWS
+        wanted = wanted.select(name, (F.col("share") * F.lit(total / of_all if of_all else 0.0)).alias(f"wanted_{name}"))
+        cells = cells.join(F.broadcast(wanted) if few[name] else wanted, name)
+    cells = cut(cells.withColumn("raked", F.when(F.least(*[F.col(f"wanted_{name}") for name in few]) > 0, F.col("weight")).otherwise(0.0)).withColumn("change", F.lit(0.0)))
     for _ in range(own.sweeps):
-        multipliers, after = {name: of(name, found) for name in dims}, []
-        for name in dims:
-            present, target = F.sum("raked"), F.first(f"wanted_{name}")
-            new = F.coalesce(F.try_divide(F.first(f"by_{name}") * target, present), F.lit(0.0))
-            # How far the marginal was before this step says whether a sweep has changed anything.
-            gap = F.when((target > 0) & (present > 0), F.abs(present / target - 1)).otherwise(0.0)
-            after.append(raked(multipliers).groupBy(F.lit(name).alias("dim"), F.col(name).alias("value")).agg(target.alias("wanted"), new.alias("by"), gap.alias("gap")))
-            multipliers[name] = of(name, after[-1])
-        found = cut(reduce(DataFrame.unionAll, after))
-        if (found.agg(F.max("gap")).first()[0] or 0.0) <= own.tolerance:
+        for k, name in enumerate(few):
+            present = cells.groupBy(name).agg(F.sum("raked").alias("present")).filter("present > 0")
+            by = F.coalesce(F.col(f"wanted_{name}") / F.col("present"), F.lit(0.0))  # nothing is left where nothing is present
+            most = F.when(F.col("present").isNotNull(), F.abs(by - 1)).otherwise(0.0)
+            rows = cells.join(F.broadcast(present) if few[name] else present, name, "left")
+            cells = cut(rows.withColumns({"raked": F.col("raked") * by, "change": most if k == 0 else F.greatest(F.col("change"), most)}).drop("present"))
+        if (cells.agg(F.max("change")).first()[0] or 0.0) <= own.tolerance:
             break
-    return raked({name: of(name, found) for name in dims}).withColumn("factor", F.col("raked") / F.col("weight")).select(*dims, "tokens", "raked", "factor")
+    return cells.withColumn("factor", F.col("raked") / F.col("weight")).select(*few, "tokens", "raked", "factor")
 
 
 def mixed(docs: DataFrame, topic: Column, own: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", without: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
