@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from veriref.llm.common import fresh, ragged, small_batches, table
+from veriref.llm.common import give_back, ragged, small_batches, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Letters and numbers that Unicode 16 has beyond Unicode 15.1 (fixed values).
@@ -205,6 +205,10 @@ class _Pieces(dict):
             self[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        self.older = {}
+        self.clear()
+
 
 class Codec:
     """The vocabulary of a file of base64 tokens and their ranks."""
@@ -274,6 +278,8 @@ def _encode(batches: Iterator[pa.Array], path: str) -> Iterator[pa.Array]:
         ends = [np.cumsum(own.length[x]) for x in ids]
         flat = (np.concatenate([*x, np.zeros(0, np.int32)]).astype(np.int32) for x in (ids, ends))
         yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(x)) for x in flat], names=["ids", "ends"])
+    own.pieces.forget()
+    give_back()
 
 
 def _decode(batches: Iterator[pa.Array], path: str) -> Iterator[pa.Array]:
@@ -308,6 +314,17 @@ def decoded(tokens: Column, path: str = RANKS) -> Column:
     return arrow_udf(run, BinaryType())(tokens)
 
 
+def coded(text: Column, path: str = RANKS) -> Column:
+    """struct<ids, ends, decoded>: both ways in one pass through Python."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for tokens in _encode(batches, path):
+            (back,) = _decode(iter([tokens]), path)
+            yield pa.StructArray.from_arrays([tokens.field("ids"), tokens.field("ends"), back], names=["ids", "ends", "decoded"])
+
+    return arrow_udf(run, StructType([*_ENCODED.fields, StructField("decoded", BinaryType())])).asNondeterministic()(text)
+
+
 def encode(docs: DataFrame, text_col: str = "text", out_col: str = "tokens", path: str = RANKS) -> DataFrame:
     """docs with the tokens in a column of a new name."""
     if out_col.lower() in {c.lower() for c in docs.columns}:
@@ -318,10 +335,10 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "tokens", pat
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = RANKS) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the bytes that they decode to."""
-    tokens = fresh(docs, "tokens")
-    both = encode(docs.select(id_col, text_col), text_col, tokens, path).withColumn("bytes", decoded(F.col(tokens), path))
-    ids = F.col(tokens)["ids"]
-    return both.select(F.col(id_col).alias("doc_id"), F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    small_batches(docs.sparkSession)
+    both = docs.select(F.col(id_col).alias("doc_id"), coded(F.col(text_col), path).alias("own"))
+    ids = F.col("own.ids")
+    return both.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("own.decoded", 256).alias("decoded_sha256"))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

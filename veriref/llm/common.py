@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +85,12 @@ def cut_to_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}/{name}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def give_back() -> None:
+    """At the end of a task: what a Python worker has freed goes back to the system, as workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        return
