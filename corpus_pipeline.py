@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriref.llm import bpe, mixing, pii, simhash, toxicity
-from veriref.llm.common import cut_to_table, table
+from veriref.llm.common import cut_to_table, small_batches, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -36,9 +36,10 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4. Token ids with the digests of the ids and of the bytes that they decode to; a null text has no tokens."""
-    out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), out_col="tokens")
-    ids = F.col("tokens")["ids"]
-    return out.select("doc_id", "lang", "source", F.size(ids).cast("long").alias("n_tokens"), ids.alias("ids"), F.sha2(bpe.decoded(F.col("tokens")), 256).alias("decoded_sha256"))
+    small_batches(spark)
+    out = docs.select("doc_id", "lang", "source", bpe.coded(F.col("text")).alias("tokens"))
+    ids = F.col("tokens.ids")
+    return out.select("doc_id", "lang", "source", F.size(ids).cast("long").alias("n_tokens"), ids.alias("ids"), F.sha2("tokens.decoded", 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Stage]] = [("toxicity", toxic), ("near_copies", near_copies), ("pii", private), ("mixing", mixing_sources), ("tokens", tokens)]
