@@ -18,7 +18,7 @@ def plain(x):
     return str(x) if hasattr(x, "isoformat") else x
 
 
-@pytest.mark.parametrize("name", ["quick_verdict_report", "title_similarity_pairs", "best_candidate_composite", "existence_cascade_first_hit", "metadata_field_comparison", "triage_routes", "bm25_topk", "rrf_fusion", "mcnemar_holm", "stratified_rates", "session_windows", "numbered_marker_expand", "citation_format_scores"])
+@pytest.mark.parametrize("name", ["quick_verdict_report", "title_similarity_pairs", "best_candidate_composite", "existence_cascade_first_hit", "metadata_field_comparison", "triage_routes", "bm25_topk", "rrf_fusion", "mcnemar_holm", "stratified_rates", "session_windows", "numbered_marker_expand", "citation_format_scores", "title_classes", "quick_classify", "link_vote_confidence", "link_statistics", "safe_urls", "venue_normalize_match", "author_token_jaccard", "job_ttl_latest", "crossref_records", "openalex_records", "semantic_scholar_records", "openreview_records", "pubmed_records", "arxiv_records"])
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
     for f in DATA.glob("*.parquet"):

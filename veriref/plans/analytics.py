@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from veriref.functions import text as T
-from veriref.functions.dialect import Spark, div
-from veriref.plans.base import query, refs
+from veriref.functions.dialect import SPARK, Spark, div, quoted
+from veriref.operators.stats import bootstrap_interval
+from veriref.plans.base import QUERIES, query, refs, run_sql
 
 
 def _hash(d: Spark, x: str, n: int) -> str:
@@ -55,12 +59,24 @@ def corpus_funnel(d: Spark) -> str:
     count_if(in_scope and verdict = 'CONTRADICTS') as n_misrep, round(100.0e0 * count_if(in_scope and verdict = 'CONTRADICTS') / nullif(count_if(in_scope), 0), 4) as misrep_pct, count(distinct l_orderkey) as n_papers from s"""
 
 
+def _strata(d: Spark) -> str:
+    return f"""with s as (select o_orderpriority as decision, {T.year_band("(year(o_orderdate) + 27)")} as band, l_returnflag as text_source, case when l_quantity > 48 then 1 else 0 end as misrep from lineitem join orders on l_orderkey = o_orderkey where l_linestatus = 'F')
+    select decision, band, text_source, count(*) as n, cast(sum(misrep) as bigint) as k from s group by grouping sets ((decision), (band), (text_source))"""
+
+
 @query("lineitem", "orders")
 def stratified_rates(d: Spark) -> str:
-    """Three strata by grouping sets; an interval only for 30 cases or more."""
-    return f"""with s as (select o_orderpriority as decision, {T.year_band("(year(o_orderdate) + 27)")} as band, l_returnflag as text_source, case when l_quantity > 48 then 1 else 0 end as misrep from lineitem join orders on l_orderkey = o_orderkey where l_linestatus = 'F'),
-    g as (select decision, band, text_source, count(*) as n, cast(sum(misrep) as bigint) as n_misrep, avg(cast(misrep as double)) as p from s group by grouping sets ((decision), (band), (text_source)))
-    select decision, band, text_source, n, n_misrep, round(p, 6) as rate, case when n >= 30 then round(greatest(p - 1.96e0 * sqrt(p * (1 - p) / n), 0.0e0), 6) end as ci_low, case when n >= 30 then round(least(p + 1.96e0 * sqrt(p * (1 - p) / n), 1.0e0), 6) end as ci_high from g"""
+    """Rates of three strata by grouping sets; `stratified_intervals` adds the intervals."""
+    return f"select decision, band, text_source, n, k as n_misrep, round(1.0e0 * k / n, 6) as rate from ({_strata(d)}) g"
+
+
+def stratified_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with bootstrapped intervals, for strata of 30 cases or more; draws can't be SQL."""
+    found = bootstrap_interval(run_sql(spark, sf_dir, _strata(SPARK), ("lineitem", "orders")))
+    return found.select("decision", "band", "text_source", "n", F.col("k").alias("n_misrep"), *[F.when(F.col("n") >= 30, F.col(x)).alias(x) for x in ("ci_low", "ci_high")], "rate")
+
+
+QUERIES["stratified_intervals"] = stratified_intervals
 
 
 @query("lineitem")
@@ -80,16 +96,20 @@ def confusion_metrics(d: Spark) -> str:
 
 @query("labels", "documents")
 def mcnemar_holm(d: Spark) -> str:
-    """Discordant pairs by stratum, chi-square statistic, then Holm's step-down by running maximum. Tail by a rational approximation of the normal (7e-8)."""
+    """Discordant pairs by stratum; exact two-sided binomial below 25 of them, chi-square with continuity from there (its tail by a rational approximation of the normal, 7e-8); then Holm's step-down by running maximum."""
     z = "sqrt(chi2)"
     t = f"(1.0e0 / (1.0e0 + 0.2316419e0 * {z}))"
     poly = f"({t} * (0.319381530e0 + {t} * (-0.356563782e0 + {t} * (1.781477937e0 + {t} * (-1.821255978e0 + {t} * 1.330274429e0)))))"
-    p = f"least(2.0e0 * exp(-chi2 / 2.0e0) / sqrt(2.0e0 * pi()) * {poly}, 1.0e0)"
+    tail = f"least(2.0e0 * exp(-chi2 / 2.0e0) / sqrt(2.0e0 * pi()) * {poly}, 1.0e0)"
+    if d.name == "spark":  # each term from the one before
+        exact = "aggregate(sequence(0, cast(least(b, c) as int)), named_struct('t', pow(0.5D, b + c), 's', 0.0D), (a, k) -> named_struct('t', a.t * (b + c - k) / (k + 1), 's', a.s + a.t), a -> least(2 * a.s, 1.0D))"
+    else:
+        exact = "least(2 * list_sum(list_transform(range(0, least(b, c)::bigint + 1), lambda k: factorial((b + c)::int)::double / factorial(k::int)::double / factorial((b + c - k)::int)::double)) * pow(0.5, b + c), 1.0)"
     return f"""with v as (select source, case when l.doc_id % 5 = 0 then 1 - quality else quality end = quality as one_right, case when l.doc_id % 3 = 0 then 1 - quality else quality end = quality as other_right from labels l join documents d on l.doc_id = d.doc_id),
-    s as (select source, count_if(one_right and not other_right) as b, count_if(not one_right and other_right) as c from v group by source),
-    x as (select *, case when b + c = 0 then 0.0e0 else pow(greatest(abs(b - c) - 1, 0), 2) / (b + c) end as chi2 from s), q as (select *, case when chi2 = 0 then 1.0e0 else {p} end as p from x),
+    s as (select source, count_if(one_right and not other_right) as b, count_if(not one_right and other_right) as c from v group by source union all select '(all)' as source, count_if(one_right and not other_right) as b, count_if(not one_right and other_right) as c from v),
+    x as (select *, case when b + c = 0 then 0.0e0 else pow(greatest(abs(b - c) - 1, 0), 2) / (b + c) end as chi2 from s), q as (select *, case when b + c = 0 then 1.0e0 when b + c < 25 then {exact} when chi2 = 0 then 1.0e0 else {tail} end as p from x),
     h as (select *, count(*) over () as m, row_number() over (order by p, source) as rn from q)
-    select source, b, c, round(chi2, 6) as chi2, round(p, 6) as p, round(least(max((m - rn + 1) * p) over (order by p, source rows between unbounded preceding and current row), 1.0e0), 6) as p_holm from h"""
+    select source, b, c, b + c < 25 as exact_, round(chi2, 6) as chi2, round(p, 6) as p, round(least(max((m - rn + 1) * p) over (order by p, source rows between unbounded preceding and current row), 1.0e0), 6) as p_holm from h"""
 
 
 @query("labels", "documents")
@@ -115,8 +135,8 @@ def sliding_rate_limit(d: Spark) -> str:
 @query("events")
 def job_ttl_latest(d: Spark) -> str:
     """A job's last state, stale or expired against the newest event."""
-    seconds = "unix_timestamp(max(ts) over ()) - unix_timestamp(ts)" if d.name == "spark" else "date_diff('second', date_trunc('second', ts), date_trunc('second', max(ts) over ()))"
-    return f"""with j as (select user_id as job_id, event_type as status, event_id, {seconds} as idle_s, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events)
+    seconds = "unix_timestamp(newest) - unix_timestamp(ts)" if d.name == "spark" else "date_diff('second', date_trunc('second', ts), date_trunc('second', newest))"
+    return f"""with n as (select max(ts) as newest from events), j as (select user_id as job_id, event_type as status, event_id, {seconds} as idle_s, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events cross join n)
     select job_id, event_id, case when idle_s > 86400 then 'expired' when idle_s > 3600 then 'failed' else status end as status from j where rn = 1"""
 
 
@@ -175,11 +195,24 @@ def marker_link_unique(d: Spark) -> str:
 
 @query("documents")
 def link_vote_confidence(d: Spark) -> str:
-    """Three votes, and how sure a link is."""
+    """The votes of parser, model and rule. Two that agree alone are high. Where votes differ, the parser's or the model's reference that the rule confirms wins, then the one that the rule names alone, then the one of that number, then the parser's. A parser alone is low if the rule denies it, unless that names another."""
+    contains = "array_contains" if d.name == "spark" else "list_contains"
+    agrees = lambda x: f"case when m.y is null and m.s is null then null else coalesce((m.y is null or m.y = {x}.year) and (m.s is null or {contains}({x}.people, m.s)), false) end"
     return f"""with {_markers(d)}, one as (select marker_id, count(*) as n, min(ref_id) as ref_id from hit group by marker_id),
-    v as (select m.marker_id, case when m.marker_id % 3 = 0 then null else m.marker_id end as parser_vote, case when m.marker_id % 4 = 1 then m.marker_id - m.marker_id % 10 end as model_vote, case when one.n = 1 then one.ref_id end as rule_vote from m left join one on m.marker_id = one.marker_id),
-    c as (select *, case when parser_vote = rule_vote or parser_vote = model_vote then parser_vote when model_vote = rule_vote then model_vote end as agreed, case when parser_vote is null then 0 else 1 end + case when model_vote is null then 0 else 1 end + case when rule_vote is null then 0 else 1 end as n_votes from v)
-    select marker_id, coalesce(agreed, rule_vote, parser_vote, model_vote) as ref_id, case when agreed is not null then 'high' when n_votes > 1 then case when rule_vote is not null then 'medium' else 'low' end when rule_vote is not null then 'medium' when n_votes = 1 then 'high' else 'none' end as confidence from c"""
+    v as (select m.marker_id, m.paper_id, m.marker_id - m.marker_id % 3 as parser_vote, case when m.marker_id % 4 = 1 then m.marker_id - m.marker_id % 10 end as model_vote, case when one.n = 1 then one.ref_id end as unique_vote, m.y, m.s, m.num from m left join one on m.marker_id = one.marker_id),
+    w as (select m.marker_id, m.parser_vote, m.model_vote, m.unique_vote, case when m.y is null and m.s is null then n.ref_id else m.unique_vote end as rule_vote, n.ref_id as numbered, {agrees("g")} as parser_ok, {agrees("l")} as model_ok
+        from v m left join r g on g.ref_id = m.parser_vote left join r l on l.ref_id = m.model_vote left join r n on n.paper_id = m.paper_id and n.ref_pos + 1 = m.num),
+    c as (select *, (model_vote is not null and model_vote <> parser_vote) or (rule_vote is not null and rule_vote <> parser_vote) as differ, model_vote is not null or rule_vote is not null as several from w),
+    k as (select marker_id, parser_vote, case when differ then case when parser_ok then 'parser' when model_vote is not null and model_ok then 'model' when unique_vote is not null then 'unique' when numbered is not null then 'number' else 'none' end
+        when several then 'agreed' when parser_ok then 'confirmed' when not parser_ok then case when unique_vote <> parser_vote then 'unique' else 'denied' end else 'unchecked' end as reason, model_vote, unique_vote, numbered from c)
+    select marker_id, case reason when 'model' then model_vote when 'unique' then unique_vote when 'number' then numbered else parser_vote end as ref_id, reason,
+    case when reason in ('agreed', 'confirmed', 'unchecked') then 'high' when reason in ('parser', 'model', 'unique') then 'medium' else 'low' end as confidence from k"""
+
+
+@query("documents")
+def link_statistics(d: Spark) -> str:
+    """How many links there are of each confidence, and how many in disagreement."""
+    return f"with l as ({link_vote_confidence(d)}) select count(*) as n, count_if(confidence = 'medium') as n_medium, count_if(confidence = 'low') as n_low, count_if(reason in ('parser', 'model', 'number', 'none')) as n_unsettled from l"
 
 
 @query("conversations")
@@ -218,7 +251,7 @@ def landing_meta_extract(d: Spark) -> str:
     title = d.extract("html", r"<title>([^<]*)</title>", 1)
     pdf = d.extract("substring(html, 1, 262144)", r'name="citation_pdf_url" content="([^"]*)"', 1)
     host = d.extract("url", r"^https?://([^/:?#]+)", 1)
-    return f"select page_id, {T.unescape_html(title)} as title, {d.extract('html', '<html lang=\"([a-z]+)\"', 1)} as lang, {host} as host, {d.matches('url', '^https?://')} and not {d.matches(host, '^(localhost|127[.]|10[.]|192[.]168[.])')} as safe, nullif({pdf}, '') as pdf_url, {d.size(d.extract_all('html', '<a href=\"([^\"]*)\"', 1))} as n_links from pages"
+    return f"select page_id, {T.unescape_html(title)} as title, {d.extract('html', '<html lang=\"([a-z]+)\"', 1)} as lang, {host} as host, {T.safe_url(d, 'url')} as safe, nullif({pdf}, '') as pdf_url, {d.size(d.extract_all('html', '<a href=\"([^\"]*)\"', 1))} as n_links from pages"
 
 
 @query("documents")
@@ -247,3 +280,11 @@ def cost_by_priority(d: Spark) -> str:
 def triage_full_outer(d: Spark) -> str:
     """Both key sets."""
     return f"with o as (select o_custkey, count(*) as n from orders group by 1) select coalesce(c.c_custkey, o.o_custkey + 1000000) as key_, coalesce(n, 0) as n, c.c_custkey is not null as has_customer from customer c full join o on c.c_custkey = o.o_custkey + {div(d, '5', 5)}"
+
+
+@query("pages")
+def safe_urls(d: Spark) -> str:
+    """P10: only addresses of the open web: no private, loopback, link-local, shared, documentation, multicast or reserved range, and no host of another form than a name or four numbers."""
+    hosts = ["example.org", "127.0.0.1", "10.1.2.3", "172.16.0.1", "172.32.0.1", "192.168.9.9", "169.254.169.254", "0.0.0.0", "224.0.0.1", "255.255.255.255", "8.8.8.8", "[::1]", "[2606:4700::1111]", "localhost", "198.51.100.7", "999.1.1.1", "user@10.0.0.1", "198.18.0.1"]
+    url = f"concat({d.item(d.array(*map(quoted, ['http://', 'https://', 'ftp://', 'HTTP://', ''])), 'page_id % 5 + 1')}, {d.item(d.array(*map(quoted, hosts)), f'page_id % {len(hosts)} + 1')}, case when page_id % 2 = 0 then ':8080/x' else '/y?z#w' end)"
+    return f"select page_id, u, {T.safe_url(d, 'u')} as safe from (select page_id, {url} as u from pages) p"

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veriref.functions.dialect import DUCK, SPARK, Spark, div
 from veriref.functions.similarity import duck_similarity, title_similarity
+from veriref.functions.text import TITLE_MATCH, normalize_title
+from veriref.operators.titles import similar_titles
 from veriref.session import table
 
 QUERIES: dict[str, Callable] = {}
@@ -23,6 +25,9 @@ Build = Callable[[Spark], str]
 def run_sql(spark: SparkSession, sf_dir: str, sql: str, tables: tuple[str, ...]) -> DataFrame:
     for name in tables:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+    if "similar_titles" in sql:
+        norm = lambda rows: spark.sql(f"select distinct {normalize_title(SPARK, 'title')} as norm from ({rows}) x")
+        similar_titles(norm(refs(SPARK)), norm(catalog(SPARK) if "similar_titles_records" in sql else refs(SPARK))).createOrReplaceTempView("similar_titles_records" if "similar_titles_records" in sql else "similar_titles_refs")
     if "title_similarity(" in sql:
         spark.udf.register("title_similarity", title_similarity)
     return spark.sql(sql)
@@ -75,3 +80,14 @@ def similarity(d: Spark, a: str, b: str) -> str:
 
 def sorted_words(d: Spark, x: str) -> str:
     return d.joined(d.ordered(d.split(x, " ")), " ")
+
+
+def alike_titles(d: Spark, records: bool) -> str:
+    """A SELECT of a, b, sim: normal titles of references and of records (or of references) that are alike. Spark has them from the operator; DuckDB compares every pair whose lengths and letters allow it."""
+    name = "similar_titles_records" if records else "similar_titles_refs"
+    if d.name == "spark":
+        return f"select a, b, sim from {name}"
+    letters = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz0123456789 ', ''), lambda c: length(norm) - length(replace(norm, c, '')))"
+    side = lambda rows: f"(select norm, {sorted_words(d, 'norm')} as words, {letters} as bag from (select distinct {normalize_title(d, 'title')} as norm from ({rows}) t) u where norm <> '')"
+    bound = f"2.0e0 * least(length(x.norm), length(y.norm)) >= {TITLE_MATCH} * (length(x.norm) + length(y.norm)) and list_sum(list_transform(list_zip(x.bag, y.bag), lambda z: abs(z[1] - z[2]))) <= {1 - TITLE_MATCH} * (length(x.norm) + length(y.norm)) + 1e-9"
+    return f"select a, b, sim from (select a, b, {duck_similarity('wa', 'wb')} as sim from (select x.norm as a, y.norm as b, x.words as wa, y.words as wb from {side(refs(d))} x join {side(catalog(d) if records else refs(d))} y on {bound}) p) q where sim >= {TITLE_MATCH}"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from veriref.functions import text as T
 from veriref.functions.dialect import Spark, div
-from veriref.plans.base import catalog, names, query, refs, similarity, sorted_words
+from veriref.plans.base import alike_titles, catalog, names, query, refs, similarity, sorted_words
 
 
 @query("documents")
@@ -15,28 +15,31 @@ def title_normalize(d: Spark) -> str:
 
 @query("documents")
 def title_similarity_pairs(d: Spark) -> str:
-    """Titles are blocked by their first 12 normal characters, and each distinct title stands for all that are equal."""
-    return f"""with t as (select {T.normalize_title(d, "title")} as norm, min(ref_id) as ref_id from ({refs(d)}) r group by 1),
-    b as (select ref_id, norm, {sorted_words(d, "norm")} as words, substring(norm, 1, 12) as block from t where norm <> ''),
-    p as (select x.ref_id as left_id, y.ref_id as right_id, x.words as a, y.words as b from b x join b y on x.block = y.block and x.ref_id < y.ref_id and 2.0e0 * least(length(x.norm), length(y.norm)) >= {T.TITLE_MATCH} * (length(x.norm) + length(y.norm))),
-    s as (select left_id, right_id, {similarity(d, "a", "b")} as sim from p)
-    select left_id, right_id, round(sim, 6) as similarity from s where sim >= {T.TITLE_MATCH}"""
+    """Pairs of different titles that are alike; the least reference of each title stands for all that are equal (`title_classes`)."""
+    return f"""with t as (select {T.normalize_title(d, "title")} as norm, min(ref_id) as ref_id from ({refs(d)}) r group by 1), s as ({alike_titles(d, False)})
+    select x.ref_id as left_id, y.ref_id as right_id, round(max(s.sim), 6) as similarity from s join t x on s.a = x.norm join t y on s.b = y.norm where x.ref_id < y.ref_id group by x.ref_id, y.ref_id"""
+
+
+@query("documents")
+def title_classes(d: Spark) -> str:
+    """The class of each reference, the least of those with the same normal title; an empty title is a class of its own."""
+    return f"with r as (select ref_id, {T.normalize_title(d, 'title')} as norm from ({refs(d)}) x), c as (select norm, min(ref_id) as class_id, count(*) as n from r where norm <> '' group by norm) select r.ref_id, coalesce(c.class_id, r.ref_id) as class_id, coalesce(c.n, 1) as class_size from r left join c on r.norm = c.norm"
 
 
 def _scored(d: Spark) -> str:
-    """CTEs up to `scored`: each reference with its candidates by normal title words, and their scores."""
+    """CTEs up to `scored`: each reference with the records whose titles are alike, and their scores."""
     return f"""r as (select ref_id, {T.normalize_title(d, "title")} as norm, {T.surname_tokens(d, "authors")} as people, year from ({refs(d)}) x),
     c as (select work_id, source, candidate_rank, {T.normalize_title(d, "title")} as norm, {T.surname_tokens(d, "authors")} as people, year from ({catalog(d)}) x),
-    rk as (select *, {sorted_words(d, "norm")} as block from r), ck as (select *, {sorted_words(d, "norm")} as block from c),
-    p as (select rk.ref_id, ck.work_id, ck.source, ck.candidate_rank, rk.block as a, ck.block as b, rk.people as pa, ck.people as pb, rk.year as ya, ck.year as yb from rk join ck on rk.block = ck.block),
-    s as (select *, {similarity(d, "a", "b")} as title_sim, {T.author_similarity(d, "pa", "pb")} as author_sim from p),
+    alike as ({alike_titles(d, True)}),
+    p as (select r.ref_id, c.work_id, c.source, c.candidate_rank, alike.sim as title_sim, r.people as pa, c.people as pb, r.year as ya, c.year as yb from r join alike on r.norm = alike.a join c on c.norm = alike.b),
+    s as (select *, {T.author_similarity(d, "pa", "pb")} as author_sim from p),
     scored as (select *, {T.composite("title_sim", f"case when {d.size('pa')} = 0 or {d.size('pb')} = 0 then 0.5e0 else author_sim end", T.year_score("ya", "yb"))} as score,
         ({d.size("pa")} > 0 and {d.size("pb")} > 0 and author_sim = 0.0e0) as disjoint_people from s)"""
 
 
 @query("documents")
 def best_candidate_composite(d: Spark) -> str:
-    """Composite score first, title alone after it, the first of equal ones."""
+    """Composite score first, title alone after it, the first of equal ones; candidates are the records with a title that is alike."""
     return f"""with {_scored(d)},
     ok as (select *, case when score >= {T.COMPOSITE} and not disjoint_people then 0 when title_sim >= {T.TITLE_MATCH} then 1 end as strategy from scored),
     n as (select *, row_number() over (partition by ref_id order by strategy, case when strategy = 0 then -score else -title_sim end, candidate_rank, work_id) as rn from ok where strategy is not null)
@@ -85,17 +88,17 @@ def venue_normalize_match(d: Spark) -> str:
     select p_partkey, na, nb, {T.venue_contained("na", "nb")} as matched, {T.is_preprint(d, "a")} <> {T.is_preprint(d, "b")} as preprint_of_publication from n"""
 
 
-def _matched(d: Spark) -> str:
+def _matched(d: Spark, r: str = "r", c: str = "c", s: str = "s") -> str:
     """CTEs up to `f`: the fields of references beside those of their records, compared."""
-    return f"""r as (select * from ({refs(d)}) x), c as (select * from ({catalog(d)}) x),
+    return f"""{r} as (select * from ({refs(d)}) x), {c} as (select * from ({catalog(d)}) x),
     j as (select r.ref_id, r.paper_id, c.work_id, c.source, c.retracted, {sorted_words(d, T.normalize_title(d, "r.title"))} as ta, {sorted_words(d, T.normalize_title(d, "c.title"))} as tb, {T.surname_tokens(d, "r.authors")} as pa, {T.surname_tokens(d, "c.authors")} as pb,
-        r.year as ya, c.year as yb, {T.missing("r.venue")} as va, {T.missing("c.venue")} as vb, {T.missing("r.doi")} as da, {T.missing("c.doi")} as db from r join c on r.ref_id = c.work_id),
-    s as (select *, {similarity(d, "ta", "tb")} as title_sim, {T.author_similarity(d, "pa", "pb")} as author_sim, {T.normalize_venue(d, "va")} as na, {T.normalize_venue(d, "vb")} as nb, {T.normalize_doi(d, "da")} as xa, {T.normalize_doi(d, "db")} as xb from j),
+        r.year as ya, c.year as yb, {T.missing("r.venue")} as va, {T.missing("c.venue")} as vb, {T.missing("r.doi")} as da, {T.missing("c.doi")} as db from {r} r join {c} c on r.ref_id = c.work_id),
+    {s} as (select *, {similarity(d, "ta", "tb")} as title_sim, {T.author_similarity(d, "pa", "pb")} as author_sim, {T.normalize_venue(d, "va")} as na, {T.normalize_venue(d, "vb")} as nb, {T.normalize_doi(d, "da")} as xa, {T.normalize_doi(d, "db")} as xb from j),
     f as (select *, case when title_sim >= {T.TITLE_MATCH} then 'MATCH' else 'MISMATCH' end as title_status,
         case when {d.size("pb")} = 0 then 'MISSING' when author_sim >= {T.AUTHOR_MATCH} then 'MATCH' when {T.is_truncation(d, "pa", "pb")} then 'CLOSE_MATCH' else 'MISMATCH' end as author_status,
         case when yb is null then 'MISSING' else {T.compare_year("ya", "yb", f"title_sim >= {T.TITLE_MATCH} and author_sim >= {T.AUTHOR_MATCH}")} end as year_status,
         case when va is null or vb is null then 'MISSING' when {T.venue_contained("na", "nb")} then 'MATCH' when {T.is_preprint(d, "va")} <> {T.is_preprint(d, "vb")} then 'CLOSE_MATCH' else 'MISMATCH' end as venue_status,
-        case when da is null and db is null then 'MISSING_BOTH' when da is null then 'MISSING_REF' when db is null then 'MISSING' when {T.doi_prefix(d, "xa", "xb")} or {T.canonical_id(d, "da")} = {T.canonical_id(d, "db")} then 'MATCH' else 'MISMATCH' end as doi_status from s)"""
+        case when da is null and db is null then 'MISSING_BOTH' when da is null then 'MISSING_REF' when db is null then 'MISSING' when {T.doi_prefix(d, "xa", "xb")} or {T.canonical_id(d, "da")} = {T.canonical_id(d, "db")} then 'MATCH' else 'MISMATCH' end as doi_status from {s})"""
 
 
 def _score(d: Spark) -> str:
@@ -116,18 +119,17 @@ def metadata_field_comparison(d: Spark) -> str:
 STEPS = [(4, "crossref", "doi"), (5, "semantic_scholar", "doi"), (6, "crossref", "title"), (7, "openalex", "title"), (8, "semantic_scholar", "title"), (10, "arxiv", "title")]
 
 
-def _cascade(d: Spark) -> str:
+def _cascade(d: Spark, r: str = "r", c: str = "c") -> str:
     """CTEs up to `won`: the first step of J7 that hits and passes the title gate, for each reference."""
     # One join for each kind of key; the step follows from the source.
     step = lambda key: "case source " + " ".join(f"when '{source}' then {n}" for n, source, own in STEPS if own == key) + " end"
-    hits = " union all ".join(f"select ref_id, work_id, {step(key)} as step, source, a, b, retracted from {key}_pairs where {step(key)} is not null" for key in ("doi", "title"))
-    block = lambda x: sorted_words(d, x)
-    return f"""r as (select ref_id, paper_id, {T.normalize_title(d, "title")} as norm, {T.canonical_id(d, "doi")} as canon from ({refs(d)}) x),
-    c as (select work_id, source, retracted, {T.normalize_title(d, "title")} as norm, {T.canonical_id(d, "doi")} as canon from ({catalog(d)}) x),
-    rb as (select *, {block("norm")} as block from r), cb as (select *, {block("norm")} as block from c),
-    doi_pairs as (select r.ref_id, c.work_id, c.source, r.block as a, c.block as b, c.retracted from rb r join cb c on r.canon = c.canon),
-    title_pairs as (select rb.ref_id, cb.work_id, cb.source, rb.block as a, cb.block as b, cb.retracted from rb join cb on rb.block = cb.block),
-    hits as ({hits}), gated as (select *, {similarity(d, "a", "b")} as sim from hits),
+    hits = " union all ".join(f"select ref_id, work_id, {step(key)} as step, source, sim, retracted from {key}_pairs where {step(key)} is not null" for key in ("doi", "title"))
+    return f"""{r} as (select ref_id, paper_id, {T.normalize_title(d, "title")} as norm, {T.canonical_id(d, "doi")} as canon from ({refs(d)}) x),
+    {c} as (select work_id, source, retracted, {T.normalize_title(d, "title")} as norm, {T.canonical_id(d, "doi")} as canon from ({catalog(d)}) x),
+    alike as ({alike_titles(d, True)}),
+    title_pairs as (select r.ref_id, c.work_id, c.source, alike.sim, c.retracted from {r} r join alike on r.norm = alike.a join {c} c on c.norm = alike.b),
+    doi_pairs as (select r.ref_id, c.work_id, c.source, case when r.norm = c.norm then 1.0e0 else alike.sim end as sim, c.retracted from {r} r join {c} c on r.canon = c.canon left join alike on r.norm = alike.a and c.norm = alike.b),
+    hits as ({hits}), gated as (select * from hits),
     ranked as (select *, row_number() over (partition by ref_id order by step, sim desc, work_id) as rn from gated where sim >= {T.TITLE_MATCH}),
     won as (select ref_id, work_id, step, source, sim, retracted from ranked where rn = 1)"""
 
@@ -150,8 +152,8 @@ def cross_source_author_validation(d: Spark) -> str:
 
 def _verdicts(d: Spark) -> str:
     """CTEs up to `v`: the quick verdict (C2) of each reference."""
-    return f"""{_cascade(d).replace("r as (", "r0 as (", 1).replace(" as block from r)", " as block from r0)", 1)},
-    {_matched(d).replace("c as (select * from", "c1 as (select * from", 1).replace("from r join c on r.ref_id = c.work_id", "from r join c1 c on r.ref_id = c.work_id", 1).replace("r as (select * from", "r as (select * from", 1).replace("s as (select *, ", "s1 as (select *, ", 1).replace(" from s)", " from s1)", 1)},
+    return f"""{_cascade(d, "found_r", "found_c")},
+    {_matched(d)},
     m as (select ref_id, work_id, {_MISMATCH} as mismatch, {_score(d)} as metadata_score from f),
     v as (select x.ref_id, x.paper_id, x.ref_pos, w.source, w.step, m.metadata_score,
         case when w.ref_id is null then case when x.ref_id % 37 = 0 then 'UNVERIFIABLE' else 'FABRICATED' end when coalesce(w.retracted, false) then 'FABRICATED' when coalesce(m.mismatch, false) then 'FABRICATED' else 'VALID' end as verdict,
