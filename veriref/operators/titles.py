@@ -3,8 +3,9 @@
 Only titles that share one of their rarer words are aligned: a pair is met if any of the rarer words of either title
 stands in the other, where all words but `COMMON` of them count as rarer. So every pair is met that shares more than
 that part of the words of either (in different words); what is alike by letters alone, with most words misspelt, isn't,
-and the README has the recall against all pairs. Equal titles count once, so a much-cited title is one row, and lengths that rule the
-likeness out go before anything is aligned.
+and the README has the recall against all pairs. Equal titles count once, so a much-cited title is one row. Lengths and
+counts of letters that rule the likeness out (every letter that one title has more of is an edit) go before anything
+is aligned, and only what is left goes to Python.
 
 Defined results: null and empty titles have no pairs; a title without a partner has no row.
 """
@@ -17,28 +18,34 @@ from pyspark.sql import functions as F
 from veriref.functions.similarity import title_similarity
 from veriref.functions.text import TITLE_MATCH
 
-COMMON = 0.3
+COMMON = 0.5
+#: Letters whose counts are compared before titles are aligned (fixed values).
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
 
 def _words(titles: DataFrame) -> DataFrame:
-    return titles.select("norm", F.explode(F.array_distinct(F.split("norm", " "))).alias("word")).filter("word <> ''")
+    return titles.select("norm", "bag", F.explode(F.array_distinct(F.split("norm", " "))).alias("word")).filter("word <> ''")
 
 
 def similar_titles(left: DataFrame, right: DataFrame, least: float = TITLE_MATCH, common: float = COMMON) -> DataFrame:
     """a, b, sim: the different normal titles (column norm) of either side that are alike, and equal ones with sim 1; each pair once."""
-    l, r = (x.select("norm").filter("norm <> ''").distinct() for x in (left, right))  # noqa: E741
+    bag = F.array(*[(F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(c), F.lit("")))) for c in LETTERS])
+    l, r = (x.select("norm").filter("norm <> ''").distinct().withColumn("bag", bag) for x in (left, right))  # noqa: E741
     lw, rw = _words(l), _words(r)
     often = lw.unionAll(rw).groupBy("word").agg(F.count("*").alias("df"))
 
     def rarest(words: DataFrame) -> DataFrame:
         # A title has few words, so its list is short.
-        own = words.join(often, "word").groupBy("norm").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("keys"))
-        return own.select("norm", F.explode(F.slice("keys", F.lit(1), F.size("keys") - F.floor(common * F.size("keys")).cast("int"))["word"]).alias("word"))
+        own = words.join(often, "word").groupBy("norm", "bag").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("keys"))
+        return own.select("norm", "bag", F.explode(F.slice("keys", F.lit(1), F.size("keys") - F.floor(common * F.size("keys")).cast("int"))["word"]).alias("word"))
 
     def met(x: DataFrame, y: DataFrame) -> DataFrame:
-        pairs = x.select(F.col("norm").alias("a"), "word").join(y.select(F.col("norm").alias("b"), "word"), "word")
-        return pairs.filter((F.col("a") != F.col("b")) & (2 * F.least(F.length("a"), F.length("b")) >= least * (F.length("a") + F.length("b")))).select("a", "b")
+        pairs = x.select(F.col("norm").alias("a"), F.col("bag").alias("bag_a"), "word").join(y.select(F.col("norm").alias("b"), F.col("bag").alias("bag_b"), "word"), "word")
+        size = F.length("a") + F.length("b")
+        long_enough = pairs.filter((F.col("a") != F.col("b")) & (2 * F.least(F.length("a"), F.length("b")) >= least * size))
+        edits = F.aggregate(F.zip_with("bag_a", "bag_b", lambda i, j: F.abs(i - j)), F.lit(0), lambda total, n: total + n)
+        return long_enough.filter(edits <= (1 - least) * size + 1e-9).select("a", "b")
 
     both = met(rarest(lw), rw).unionAll(met(lw, rarest(rw))).distinct()
     aligned = both.withColumn("sim", title_similarity("a", "b")).filter(F.col("sim") >= least)
-    return aligned.unionAll(l.join(r, "norm", "left_semi").select(F.col("norm").alias("a"), F.col("norm").alias("b"), F.lit(1.0).alias("sim")))
+    return aligned.unionAll(l.join(r.select("norm"), "norm", "left_semi").select(F.col("norm").alias("a"), F.col("norm").alias("b"), F.lit(1.0).alias("sim")))
