@@ -15,7 +15,7 @@ from veriref.functions.dialect import DUCK, SPARK, Spark, div
 from veriref.functions.similarity import duck_similarity, title_similarity
 from veriref.functions.text import TITLE_MATCH, normalize_title
 from veriref.operators.titles import similar_titles
-from veriref.session import table
+from veriref.session import cut, table
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -27,7 +27,9 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str, tables: tuple[str, ...])
         table(spark, sf_dir, name).createOrReplaceTempView(name)
     if "similar_titles" in sql:
         norm = lambda rows: spark.sql(f"select distinct {normalize_title(SPARK, 'title')} as norm from ({rows}) x")
-        similar_titles(norm(refs(SPARK)), norm(catalog(SPARK) if "similar_titles_records" in sql else refs(SPARK))).createOrReplaceTempView("similar_titles_records" if "similar_titles_records" in sql else "similar_titles_refs")
+        name = "similar_titles_records" if "similar_titles_records" in sql else "similar_titles_refs"
+        # Aligned once, however often a query reads it.
+        cut(similar_titles(norm(refs(SPARK)), norm(catalog(SPARK) if name == "similar_titles_records" else refs(SPARK)))).createOrReplaceTempView(name)
     if "title_similarity(" in sql:
         spark.udf.register("title_similarity", title_similarity)
     return spark.sql(sql)
