@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType, StructField, StructType
 
-from veriref.llm.common import BROADCAST_ROWS, cut, fresh, ragged, small_batches, table, utf8
+from veriref.llm.common import BROADCAST_ROWS, cut, fresh, give_back, ragged, small_batches, table, utf8
 from veriref.llm.minhash import _mixed
 
 BLOCK_BITS, BLOCK_RADIUS = 23, 3
@@ -101,6 +101,7 @@ def simhash(text: str | None) -> int:
 def fingerprint(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
         yield pa.array(np.array([simhash(x) for x in batch.to_pylist()], np.uint64).view(np.int64))
+    give_back()
 
 
 def wide_simhash(text: str | None, own: Search) -> np.ndarray:
@@ -122,14 +123,16 @@ def wide_simhash(text: str | None, own: Search) -> np.ndarray:
 
 
 def wide_fingerprint(text: Column, own: Search) -> Column:
-    """A struct of the columns of `own`."""
+    """A struct of the columns of `own` and `node`, the number of the fingerprint."""
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            rows = np.array([wide_simhash(x, own) for x in batch.to_pylist()], np.uint64).reshape(-1, len(own.columns)).view(np.int64)
-            yield pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(rows.shape[1])], names=own.columns)
+            rows = np.array([wide_simhash(x, own) for x in batch.to_pylist()], np.uint64).reshape(-1, len(own.columns))
+            yield pa.StructArray.from_arrays([pa.array(c.view(np.int64)) for c in (*np.ascontiguousarray(rows.T), node_ids(rows))], names=names)
+        give_back()
 
-    return arrow_udf(run, StructType([StructField(c, LongType()) for c in own.columns])).asNondeterministic()(text)  # so that it runs once for all its fields
+    names = [*own.columns, "node"]
+    return arrow_udf(run, StructType([StructField(c, LongType()) for c in names])).asNondeterministic()(text)  # so that it runs once for all its fields
 
 
 def hex16(value: Column) -> Column:
@@ -211,6 +214,7 @@ def _replicate(batches: Iterator[pa.RecordBatch], own: Search) -> Iterator[pa.Re
             for low in range(0, len(starts), 4096):
                 cut_ = slice(low, low + 4096)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[cut_]), pa.array(homes[cut_]), pa.array([members[x:y].tobytes() for x, y in zip(starts[cut_], ends[cut_], strict=True)], pa.binary())], names=["anchor", "homes", "members"])
+    give_back()
 
 
 def node_ids(prints: np.ndarray) -> np.ndarray:
@@ -321,6 +325,7 @@ def _compare(batches: Iterator[pa.RecordBatch], own: Search) -> Iterator[pa.Reco
                 found, held = [], 0
     if found:
         yield _edges(*spanning(*map(np.concatenate, zip(*found, strict=True))))
+    give_back()
 
 
 def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -351,16 +356,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
-@arrow_udf(LongType())
-def _node(*columns: pa.Array) -> pa.Array:
-    return pa.array(node_ids(np.stack([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in columns], axis=1)).view(np.int64))
-
-
-def with_node(prints: DataFrame, own: Search) -> DataFrame:
-    """prints with `node`, the number of its fingerprint."""
-    return prints.withColumn("node", _node(*own.columns) if len(own.columns) > 1 else F.col(own.columns[0]))
-
-
 def rooted(prints: DataFrame, least: Column, own: Search = EXACT) -> DataFrame:
     """Of prints with their node: one row for each distinct fingerprint: node, root (the least node of its component), least."""
     distinct = cut(prints.groupBy("node").agg(F.min(least).alias("least"), *[F.first(c).alias(c) for c in own.columns]))
@@ -373,7 +368,7 @@ def rooted(prints: DataFrame, least: Column, own: Search = EXACT) -> DataFrame:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own: Search = EXACT) -> DataFrame:
     """doc_id, print (signed 64 bits), component_id for every row of docs."""
     small_batches(docs.sparkSession)
-    prints = cut(with_node(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("p0")), own))
+    prints = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("p0")).withColumn("node", F.col("p0")))
     found = cut(rooted(prints, F.col("doc_id"), own))
     least = found.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(found.join(least, "root").select("node", "component_id"), "node").select("doc_id", F.col("p0").alias("print"), "component_id")
@@ -383,8 +378,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """docs with one row of each component: that of the least id (null last), then of the least text hash; of rows equal in both, one."""
     small_batches(docs.sparkSession)
     hashed = F.xxhash64(F.col(text_col))
-    marked = docs.select(F.col(id_col).alias("id"), hashed.alias("same"), wide_fingerprint(F.col(text_col), own).alias("print")).select("id", "same", "print.*")
-    marked = cut(with_node(marked, own))
+    marked = cut(docs.select(F.col(id_col).alias("id"), hashed.alias("same"), wide_fingerprint(F.col(text_col), own).alias("print")).select("id", "same", "print.*"))
     found = rooted(marked, F.struct(F.col("id").isNull().alias("unknown"), "id", "same"), own)
     stays = cut(found.groupBy("root").agg(F.min("least").alias("least")).select("least.id", "least.same"))
     every = cut(marked.groupBy("id", "same").agg(F.count("*").alias("n")))
