@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veriref.plans import analytics, catalogues, files, judging, records, references, retrieval  # noqa: F401  (they register their queries)
+from veriref.plans import analytics, catalogues, completion, files, judging, records, references, retrieval  # noqa: F401  (they register their queries)
 from veriref.plans.base import ORACLES, QUERIES
 
 FLAGSHIP = "quick_verdict_report"
