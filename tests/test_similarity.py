@@ -1,7 +1,9 @@
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from veriref.functions.similarity import indel, lcs, token_sort_ratio
+from veriref.functions.similarity import Texts, indel, lcs, token_sort_ratio
+from veriref.operators import titles
 from veriref.operators.chunks import LEAST_WORDS, chunk
 
 words = st.text("abc ", max_size=12)
@@ -35,3 +37,25 @@ def test_chunks():
     assert len(found) > 3
     assert all(len(x.split()) >= LEAST_WORDS for x in found)
     assert chunk(None) == chunk("") == []
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.text("abcdé ", max_size=90), min_size=2, max_size=12), st.sampled_from([0.5, 0.8, 1.0]))
+def test_many_pairs_at_a_time(texts, least):
+    texts = [x for x in texts if x] + ["ab" * 70, "ab" * 69 + "c"]
+    middle = len(texts) // 2
+    own = Texts(texts)
+    pairs = list(own.candidates(0, middle, len(texts), least))
+    x, y, sim = own.alike(np.concatenate([p[0] for p in pairs] or [np.zeros(0, int)]), np.concatenate([p[1] for p in pairs] or [np.zeros(0, int)]), least)
+    expected = {(i, j): indel(texts[i], texts[j]) for i in range(middle) for j in range(middle, len(texts)) if indel(texts[i], texts[j]) >= least}
+    assert dict(zip(zip(x.tolist(), y.tolist(), strict=True), sim.tolist(), strict=True)) == expected
+
+
+def test_a_common_word_in_cells(spark, monkeypatch):
+    """Titles of one word are dealt out in cells, and a pair that meets at several words comes once."""
+    monkeypatch.setattr(titles, "CELL", 7)
+    rows = [f"common words of title {a} {b}" for a in "abcdefgh" for b in ("xx", "xy", "yz", "zz")]
+    left, right = (spark.createDataFrame([(x,) for x in part], "norm string") for part in (rows, rows[::2] + ["common words", ""]))
+    for other, names in ((right, rows[::2] + ["common words"]), (left, rows)):
+        got = [(r["a"], r["b"]) for r in titles.similar_titles(left, other).collect()]
+        assert sorted(got) == sorted((a, b) for a in rows for b in names if a == b or token_sort_ratio(a, b) >= 0.8)
