@@ -73,3 +73,9 @@ def test_stream_equals_batch(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
     query.awaitTermination(120)
     assert sorted(spark.table("counts").collect()) == sorted(hourly_counts(events).collect())
+
+
+def test_names_are_compared_before_they_are_paired(spark):
+    """Customers and suppliers of a nation share few lists of names, so no pair of ids costs a pattern."""
+    plan = registry.QUERIES["author_token_jaccard"](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "regexp" not in plan[: plan.index("Join")]
