@@ -79,3 +79,16 @@ def test_names_are_compared_before_they_are_paired(spark):
     """Customers and suppliers of a nation share few lists of names, so no pair of ids costs a pattern."""
     plan = registry.QUERIES["author_token_jaccard"](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" in plan and "regexp" not in plan[: plan.index("Join")]
+
+
+def test_hits_by_title_come_once_for_each_title(spark, tmp_path):
+    """Many documents with one text: references and records of a title are never paired with one another."""
+    text = "a title that very many references have in common with very many records of it"
+    spark.createDataFrame([(k, text) for k in range(400)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.QUERIES["existence_cascade_first_hit"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    own = con.execute(f"select ref_id, status, source, work_id, step from ({registry.ORACLES['existence_cascade_first_hit']}) q").fetchall()
+    assert sorted(tuple(r) for r in got.select("ref_id", "status", "source", "work_id", "step").collect()) == sorted(own)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" in plan
