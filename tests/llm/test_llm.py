@@ -175,6 +175,19 @@ def test_minhash(spark):
     assert len(set(alone)) == 200
 
 
+def test_minhash_compares_in_one_pass(spark):
+    from veriref.llm import minhash
+
+    texts = [(k, f"{k % 3} " + "a text of some words and more " * (k % 4)) for k in range(30)]
+    got = minhash.compared(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 3  # the texts, either side of a union, and what is made of the edited ones
+    for r in got.collect():
+        own, after = texts[r["doc_id"]][1], texts[(r["doc_id"] + 1) % 30][1]
+        made = minhash.fingerprint(own[: len(own) - len(own) // 2] + after[: len(own) // 2])
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (minhash.fingerprint(own), made)
+        assert (r["near_edited"], r["near_next"]) == (minhash.likeness(r["fingerprint"], made), minhash.likeness(r["fingerprint"], minhash.fingerprint(after)))
+
+
 def test_pii_brute_force(spark):
     from veriref.llm import pii
 

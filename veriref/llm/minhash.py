@@ -31,15 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from veriref.llm.common import BROADCAST_ROWS, cut, small_batches, table, utf8
+from veriref.llm.common import BROADCAST_ROWS, cut, give_back, small_batches, table, utf8
 
 BINS, BITS, WORDS = 512, 4, 5
 EMPTY = ""
 #: Bytes of text in a range of ids, on average; a session's shuffle partitions give more ranges where that is more.
 RANGE_BYTES = 32 << 20
-_BYTES_AT_ONCE = 1 << 20
+_BYTES_AT_ONCE = 1 << 18
 _BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -153,12 +153,21 @@ def likeness(a: str, b: str) -> float:
 def fingerprints(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
         yield pa.array([fingerprint(x) for x in batch.to_pylist()], pa.string())
+    give_back()
 
 
-@arrow_udf(DoubleType())
-def alike(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for a, b in pairs:
-        yield pa.array([likeness(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+def compared_with(edited: Column, own: Column, following: Column) -> Column:
+    """Of an edited text and two fingerprints, as one struct: the text's fingerprint, and the likeness of `own` to it and to `following`."""
+
+    def run(rows: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, prints, others in rows:
+            prints, made = prints.to_pylist(), [fingerprint(x) for x in texts.to_pylist()]
+            near = [pa.array(map(likeness, prints, x), pa.float64()) for x in (made, others.to_pylist())]
+            yield pa.StructArray.from_arrays([pa.array(made, pa.string()), *near], names=["print", "near", "near_following"])
+        give_back()
+
+    kind = StructType([StructField("print", StringType()), StructField("near", DoubleType()), StructField("near_following", DoubleType())])
+    return arrow_udf(run, kind).asNondeterministic()(edited, own, following)  # so that it runs once for all its fields
 
 
 def _ranges(ids: DataFrame, n: int) -> Column:
@@ -198,8 +207,9 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = with_next(own)
     edited = rows.select("doc_id", "print", "next_print", F.length("text").cast("long").alias("n_chars"), F.concat(F.expr("left(text, length(text) - length(text) div 2)"), F.expr("left(next_text, length(text) div 2)")).alias("edited"))
-    marked = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("print").alias("fingerprint"), fingerprints("edited").alias("edited_fingerprint"), "next_print")
-    return marked.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", alike("fingerprint", "edited_fingerprint").alias("near_edited"), alike("fingerprint", "next_print").alias("near_next"))
+    # One pass through Python, so one worker a task.
+    marked = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("print").alias("fingerprint"), compared_with(F.col("edited"), F.col("print"), F.col("next_print")).alias("made"))
+    return marked.select("doc_id", "n_chars", "edited_sha256", "fingerprint", F.col("made.print").alias("edited_fingerprint"), F.col("made.near").alias("near_edited"), F.col("made.near_following").alias("near_next"))
 
 
 def op5_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
