@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -414,6 +415,27 @@ def test_toxicity_needs_labels():
     assert model.score(np.array([1], np.int32)) == 0.0
 
 
+def test_toxicity_fits_all_documents(spark, monkeypatch):
+    from veriref.llm import toxicity
+
+    rng = np.random.default_rng(2)
+    rows = [(k, " ".join([f"w{x}" for x in rng.integers(0, 200, 40)] + (["late"] * 2 if k % 3 == 0 else [])), "en", int(k % 3 == 0)) for k in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    seen, held = [], toxicity._averaged
+    monkeypatch.setattr(toxicity, "_averaged", lambda got, params: (seen.append(got["docs"].to_pylist()), held(got, params))[1])
+    monkeypatch.setattr(toxicity, "_WORDS_AT_ONCE", 16)
+    own = toxicity.Settings(replica=300, rounds=2, passes=8)
+    model = toxicity.fit(docs, docs.select("doc_id", "toxic"), own)
+    known = [k for k in range(1200) if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert [len(x) for x in seen] == [len(known) // 300] * 2 and sum(seen[0]) == sum(seen[1]) and 0.6 * len(known) < sum(seen[0]) < 0.9 * len(known)  # all but those that calibrate
+    right = [(model.score(model.index[[toxicity.bucket(w) for w in toxicity.words_of(text)]]) >= toxicity.THRESHOLD) == (toxic > 0) for k, text, _, toxic in rows if k not in set(known)]
+    assert np.mean(right) > 0.95
+    # Whole texts: what alone tells comes after more words than were once read.
+    long = spark.createDataFrame([(k, "x " * 6000 + ("late " if k % 2 else "early ") * 2 + "x " * 300, "en", k % 2) for k in range(80)], "doc_id long, text string, lang string, toxic int")
+    one = toxicity.fit(long, long.select("doc_id", "toxic"), toxicity.Settings(steps=40))
+    assert one.index[toxicity.bucket("late")] and one.index[toxicity.bucket("early")]
+
+
 def test_letters():
     from veriref.llm import langid
 
