@@ -49,7 +49,7 @@ GOLAY = 0b101011100011
 #: Beyond so many distinct fingerprints two blocks are used: more anchors, each with fewer of them.
 TWO_BLOCKS_FROM = 20_000_000
 _SHINGLES_AT_ONCE = 1 << 16
-_COMPARED_AT_ONCE = 1 << 21
+_COMPARED_AT_ONCE = 1 << 18
 _REPLICATED_AT_ONCE = 1 << 14
 _EDGES_AT_ONCE = 1 << 18
 _NO_EDGES = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
@@ -344,7 +344,8 @@ def links(prints: DataFrame, own: Search = EXACT) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root: of each node of an edge the least node that it reaches."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut(edges.select(F.explode(ends).alias("ends")).select("ends.*").distinct())  # edges are found once for both directions
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")))
     for _ in range(rounds):
         seen = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
