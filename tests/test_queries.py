@@ -92,3 +92,16 @@ def test_hits_by_title_come_once_for_each_title(spark, tmp_path):
     assert sorted(tuple(r) for r in got.select("ref_id", "status", "source", "work_id", "step").collect()) == sorted(own)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "min_by" in plan
+
+
+def test_authors_of_a_title_are_compared_before_references_are_paired(spark, tmp_path):
+    """Many documents with one text: lists of people and kinds of records are compared, not every reference with every record."""
+    text = "a title that very many references have in common with very many records of it"
+    spark.createDataFrame([(k, text) for k in range(400)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.QUERIES["best_candidate_composite"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    own = con.execute(f"select ref_id, work_id, strategy, score from ({registry.ORACLES['best_candidate_composite']}) q").fetchall()
+    assert sorted(tuple(r) for r in got.select("ref_id", "work_id", "strategy", "score").collect()) == sorted(own)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "author_part" in plan and "min(work_id" in plan
