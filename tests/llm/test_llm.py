@@ -143,6 +143,19 @@ def test_simhash_components(spark):
     assert {r["node"]: r["root"] for r in simhash.components(path).collect()} == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
 
 
+def test_simhash_forests_of_many_tasks_are_merged(spark):
+    from veriref.llm import simhash
+
+    rng = np.random.default_rng(6)
+    pairs = [(int(x), k) for k in range(40) for x in rng.choice(np.arange(40, 440), 200, replace=False)]  # 40 stars over the same nodes
+    pairs += [(-9, -7), (-7, -8), (500, 440), (501, 500)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    few = [(r.a, r.b) for r in simhash.merged(edges).collect()]
+    nodes = sorted({x for pair in pairs for x in pair})
+    assert len(few) < 2 * len(nodes) < len(pairs) / 8 and components_of(few, nodes) == components_of(pairs, nodes)
+    assert {r.node: r.root for r in simhash.components(edges).collect()} == components_of(pairs, nodes)
+
+
 def test_bpe_is_the_library(spark):
     import base64
 
@@ -318,6 +331,27 @@ def test_mixing_excludes(spark):
     assert mixing.sample(docs.limit(0)).columns == docs.columns and mixing.sample(docs.limit(0)).count() == 0
 
 
+def test_mixing_sweeps_few_cells_in_one_task(spark, monkeypatch):
+    from veriref.llm import mixing
+
+    rng = np.random.default_rng(4)
+    rows = [(f"s{s}", f"l{k}", f"t{t}", int(x)) for (s, k, t), x in zip(np.ndindex(5, 3, 2), rng.integers(0, 900, 30), strict=True)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    own = mixing.Mix(targets={"lang": {"l0": 0.7, "l1": 0.3}})  # l2 is excluded
+    cuts, held = [], mixing.cut
+    monkeypatch.setattr(mixing, "cut", lambda df: (cuts.append(df), held(df))[1])
+
+    def fitted(most):
+        cuts.clear()
+        monkeypatch.setattr(mixing, "CELLS_AT_ONCE", most)
+        return {(r.source, r.lang, r.topic): r.factor for r in mixing.fit(cells, own).collect()}, len(cuts)
+
+    (few, of_few), (many, of_many) = fitted(100), fitted(0)
+    assert few.keys() == many.keys() and max(abs(few[x] - many[x]) for x in few) < 1e-9
+    assert of_few - 5 <= own.sweeps and of_many - 5 == 3 * (of_few - 5)  # a job for each sweep, not for each marginal; 5 come before
+    assert any(few.values()) and not any(v for (_, lang, _), v in few.items() if lang == "l2")
+
+
 def test_mixing_is_its_sql(spark):
     got, expected = against_duck(spark, "op2_source_mixing", DATA, ["documents"])
     assert len(got) == len(expected)
@@ -436,6 +470,29 @@ def test_toxicity_fits_all_documents(spark, monkeypatch):
     assert one.index[toxicity.bucket("late")] and one.index[toxicity.bucket("early")]
 
 
+def test_toxicity_replicas_meet_in_the_executors(spark, monkeypatch):
+    from veriref.llm import toxicity
+
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join([f"w{x}" for x in rng.integers(0, 200, 40)] + ["late"] * 2 * (k % 3 == 0)), "en", int(k % 3 == 0)) for k in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    sent, held = [], toxicity._embeddings
+    monkeypatch.setattr(toxicity, "_embeddings", lambda blocks, before: (sent.append((sum(len(x.as_buffer()) for x in blocks["params"]), before.nbytes)), held(blocks, before))[1])
+    toxicity.fit(docs, docs.select("doc_id", "toxic"), toxicity.Settings(replica=200, rounds=2))
+    assert len(sent) == 2 and all(got == one for got, one in sent)  # the driver gets one set of embeddings, not one of each of the 4 replicas
+    # The average is that of all replicas, by the documents that hold a word; the others stay.
+    monkeypatch.setattr(toxicity, "_BLOCK", 3)
+    sets, held_by = rng.normal(size=(4, 7, 2)).astype(np.float32), rng.integers(0, 3, (4, 7)).astype(np.float32)
+    held_by[:, 5] = 0
+    before = rng.normal(size=(7, 2)).astype(np.float32)
+    parts = [toxicity._parts([p], r, [None], [held_by[r, 3 * p : 3 * p + 3].tobytes()], [sets[r, 3 * p : 3 * p + 3].tobytes()]) for p in range(3) for r in range(4)]
+    import pyarrow as pa
+
+    out = toxicity._embeddings(pa.Table.from_batches(list(toxicity._merged(iter(parts)))), before)
+    there = held_by.sum(axis=0) > 0
+    assert np.allclose(out[there], ((sets * held_by[:, :, None]).sum(axis=0)[there] / held_by.sum(axis=0)[there, None]), atol=1e-6) and (out[~there] == before[~there]).all()
+
+
 def test_letters():
     from veriref.llm import langid
 

@@ -37,6 +37,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     checkpoint_folder(df.sparkSession)
+    give_back()
     return df.checkpoint()
 
 
@@ -88,7 +89,7 @@ def cut_to_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def give_back() -> None:
-    """At the end of a task: what a Python worker has freed goes back to the system, as workers live on from stage to stage."""
+    """At the end of a task, and in the driver at each cut: what Python has freed goes back to the system, as workers and the driver live on from stage to stage."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -12,8 +12,9 @@ given targets leave out, or give 0, is not to be drawn: its cells have the facto
 query passes the register of a text (`register`): tables, symbols, shouting, digits, short and long prose.
 
 A text is read once for its tokens and topic. Only cells are shuffled, as partial sums: a hot source is one row a task
-and cell. Marginals are partial sums too, a row for each value, broadcast if they're counted to be few, else joined by shuffle;
-the cells are cut after each step, so no plan grows.
+and cell. Up to `CELLS_AT_ONCE` of them, counted, are swept in one task, by windows, and cut after each sweep. Marginals of more are
+partial sums too, a row for each value, broadcast if they're counted to be few, else joined by shuffle, and the cells are cut
+after each step; so no plan grows.
 
 Defined results: a null source, language or topic is a value of its own, `(none)`; null and empty texts
 have no tokens and the factor of their cell, a cell without tokens the factor 1; if targets exclude every cell
@@ -25,13 +26,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veriref.llm.common import BROADCAST_ROWS, cut, cut_to_table, fresh, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 NONE = "(none)"
+#: Cells that one task sweeps, without a job for each marginal: some 20 MB.
+CELLS_AT_ONCE = 100_000
 
 
 @dataclass(frozen=True)
@@ -77,13 +80,21 @@ def fit(cells: DataFrame, own: Mix = Mix()) -> DataFrame:
         wanted = wanted.select(name, (F.col("share") * F.lit(total / of_all if of_all else 0.0)).alias(f"wanted_{name}"))
         cells = cells.join(F.broadcast(wanted) if few[name] else wanted, name)
     cells = cut(cells.withColumn("raked", F.when(F.least(*[F.col(f"wanted_{name}") for name in few]) > 0, F.col("weight")).otherwise(0.0)).withColumn("change", F.lit(0.0)))
+    at_once = cells.count() <= CELLS_AT_ONCE
     for _ in range(own.sweeps):
+        if at_once:
+            cells = cells.coalesce(1)  # so the windows need no exchange
         for k, name in enumerate(few):
-            present = cells.groupBy(name).agg(F.sum("raked").alias("present")).filter("present > 0")
+            if at_once:
+                of_value = F.sum("raked").over(Window.partitionBy(name))
+                rows = cells.withColumn("present", of_value).withColumn("present", F.when(F.col("present") > 0, F.col("present")))
+            else:
+                present = cells.groupBy(name).agg(F.sum("raked").alias("present")).filter("present > 0")
+                rows = cells.join(F.broadcast(present) if few[name] else present, name, "left")
             by = F.coalesce(F.col(f"wanted_{name}") / F.col("present"), F.lit(0.0))  # nothing is left where nothing is present
             most = F.when(F.col("present").isNotNull(), F.abs(by - 1)).otherwise(0.0)
-            rows = cells.join(F.broadcast(present) if few[name] else present, name, "left")
-            cells = cut(rows.withColumns({"raked": F.col("raked") * by, "change": most if k == 0 else F.greatest(F.col("change"), most)}).drop("present"))
+            cells = rows.withColumns({"raked": F.col("raked") * by, "change": most if k == 0 else F.greatest(F.col("change"), most)}).drop("present")
+            cells = cells if at_once and k + 1 < len(few) else cut(cells)
         if (cells.agg(F.max("change")).first()[0] or 0.0) <= own.tolerance:
             break
     return cells.withColumn("factor", F.col("raked") / F.col("weight")).select(*few, "tokens", "raked", "factor")

@@ -17,7 +17,8 @@ of likeness 0.8 is missed by all tables with a probability of some 0.05 (it is m
 
 What is compared are distinct fingerprints, so a group of copies of any size counts once. An anchor yields a spanning
 forest of its links rather than all pairs: once most of an anchor's fingerprints are one tree, those of the tree are
-compared with the others only. Components are found by minimum labels with pointer jumping.
+compared with the others only. The forests of all tasks are merged, and
+components found by minimum labels with pointer jumping.
 
 Defined results: null and empty texts, and texts of separators alone, have the fingerprint zero and link like any
 other. Equal rows have equal fingerprints. A null doc_id keeps its row; it never is a component's id unless all ids of
@@ -342,10 +343,17 @@ def links(prints: DataFrame, own: Search = EXACT) -> DataFrame:
     return reached.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(partial(_compare, own=own), "a long, b long")
 
 
+def merged(edges: DataFrame) -> DataFrame:
+    """As few edges as connect the same nodes. Each task links the nodes of a large group to a root of its own, so a node keeps its least root alone, and its other roots are linked to that, once."""
+    nearest = cut(edges.withColumn("least", F.min("b").over(Window.partitionBy("a"))))
+    others = nearest.filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    return nearest.select("a", F.col("least").alias("b")).unionByName(others).distinct()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root: of each node of an edge the least node that it reaches."""
     ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = cut(edges.select(F.explode(ends).alias("ends")).select("ends.*").distinct())  # edges are found once for both directions
+    both = cut(merged(edges).select(F.explode(ends).alias("ends")).select("ends.*").distinct())  # edges are found once for both directions
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")))
     for _ in range(rounds):
         seen = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
