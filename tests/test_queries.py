@@ -105,3 +105,32 @@ def test_authors_of_a_title_are_compared_before_references_are_paired(spark, tmp
     assert sorted(tuple(r) for r in got.select("ref_id", "work_id", "strategy", "score").collect()) == sorted(own)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "author_part" in plan and "min(work_id" in plan
+
+
+def _below_the_first_aggregate(plan):
+    """Lines of a plan between its pairs of titles and what first groups them."""
+    lines = plan.splitlines()
+    pairs = next(k for k, x in enumerate(lines) if "MapInArrow" in x)
+    first = max(k for k, x in enumerate(lines[:pairs]) if "Aggregate" in x)
+    return lines[first:pairs]
+
+
+@pytest.mark.parametrize("name", ["title_similarity_pairs", "existence_cascade_first_hit", "quick_classify", "quick_verdict_report", "severity_order", "triage_routes"])
+def test_pairs_of_titles_are_grouped_where_they_are_found(spark, name):
+    """They are neither written nor joined before; there are by far more of them than references."""
+    plan = registry.QUERIES[name](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in _below_the_first_aggregate(plan) if "Join" in x or "Window" in x]
+    assert plan.count("MapInArrow") == 1
+
+
+def test_titles_of_one_doi_are_compared_by_themselves(spark, tmp_path):
+    """A record in which the words of the title stand in another order is found by its DOI, as in SQL, and one with another title isn't."""
+    rows = [(k, f"{w} words of several kinds that make a title of their own {w}{w}") for k, w in zip(range(0, 84), (f"{a}{b}" for a in "abcdefghijkl" for b in "mnopqrs"), strict=True)] + [(84, ""), (85, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("existence_cascade_first_hit", "quick_classify"):
+        got = registry.QUERIES[name](spark, str(tmp_path))
+        columns = sorted(got.columns)
+        own = con.execute(f"select {', '.join(columns)} from ({registry.ORACLES[name]}) q").fetchall()
+        assert sorted(repr(tuple(plain(x) for x in r)) for r in got.select(*columns).collect()) == sorted(repr(tuple(plain(x) for x in r)) for r in own)

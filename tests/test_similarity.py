@@ -59,3 +59,23 @@ def test_a_common_word_in_cells(spark, monkeypatch):
     for other, names in ((right, rows[::2] + ["common words"]), (left, rows)):
         got = [(r["a"], r["b"]) for r in titles.similar_titles(left, other).collect()]
         assert sorted(got) == sorted((a, b) for a in rows for b in names if a == b or token_sort_ratio(a, b) >= 0.8)
+
+
+def test_a_title_is_sent_once_for_each_block(spark, monkeypatch):
+    """Not once for each of its words; pairs leave as numbers, and are those of brute force by either way of meeting them."""
+    rows = sorted({f"{a} {b} shared {c} {b}" for a in ("alpha", "beta", "gamma", "delta") for b in ("one", "two", "onetwo") for c in ("xx", "xy", "zz")})
+    plain = spark.createDataFrame([(x, k % 3 < 2, k % 3 > 0) for k, x in enumerate(rows)], "norm string, l boolean, r boolean")
+    own = titles.numbered(plain)
+    names = {r["id"]: r["norm"] for r in own.collect()}
+    sides = {r["norm"]: (r["l"], r["r"]) for r in plain.collect()}
+    dealt = titles._dealt(own.withColumn("key", own["id"]).join(titles._by_rarity(own, False), "id"), 4).drop("id", "norm")
+    assert dealt.count() == 4 * len(rows)
+    assert [f.dataType.simpleString() for f in titles.alike(own).schema] == ["bigint", "bigint", "double"]
+    likely = {(a, b) for a in rows for b in rows if a != b and sides[a][0] and sides[b][1] and token_sort_ratio(a, b) >= 0.8}
+    surely = {(a, b) for a, b in likely if 2 * len({*a.split()} & {*b.split()}) > min(len({*a.split()}), len({*b.split()}))}
+    assert surely
+    batches = dealt.coalesce(1).sortWithinPartitions("cell", "second").toArrow().to_batches(max_chunksize=7)
+    for few in (0, 1 << 12):
+        monkeypatch.setattr(titles, "_FEW", few)
+        got = [(names[r["a"]], names[r["b"]]) for batch in titles._aligner(0.8, 0.5, False, None)(iter(batches)) for r in batch.to_pylist()]
+        assert len(got) == len({*got}) and surely <= {*got} <= likely
