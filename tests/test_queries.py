@@ -134,3 +134,19 @@ def test_titles_of_one_doi_are_compared_by_themselves(spark, tmp_path):
         columns = sorted(got.columns)
         own = con.execute(f"select {', '.join(columns)} from ({registry.ORACLES[name]}) q").fetchall()
         assert sorted(repr(tuple(plain(x) for x in r)) for r in got.select(*columns).collect()) == sorted(repr(tuple(plain(x) for x in r)) for r in own)
+
+
+def test_scores_stay_with_their_title(spark):
+    """What is compared is reduced to the best of a title, list of people and year before anything of it is dealt out again."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = registry.QUERIES["best_candidate_composite"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    compared = [k for k, x in enumerate(lines) if "min(work_id" in x and "author_part" in x]
+    top = max(k for k, x in enumerate(lines[: compared[0]]) if "Join" in x)
+    joined = next(k for k in range(compared[0], len(lines)) if "Join" in lines[k])
+    between = [x.strip(" :+-|") for x in lines[top + 1 : joined]]
+    assert any("own_year" in x and "Aggregate" in x for x in between)
+    assert sum(x.startswith("Exchange") and "author_part" in x for x in between) == 0
